@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .chat import op10_chat_format
+from .decontaminate import op1_decontaminate
+from .quality import op8_quality_rules
 from .token_counts import op7_token_counts
+from .toxicity import op6_toxicity
+from .url_filter import op4_url_filter
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_url_filter": op4_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE: dict[str, str] = {}
