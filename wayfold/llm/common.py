@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def table(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns it read again: lineage ends there and a lost executor costs no recomputation."""
     path = f"{shared_dir(spark)}/wayfold/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.wayfold_path = path
     return out

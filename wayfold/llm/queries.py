@@ -6,6 +6,7 @@ from .bpe import op3_byte_bpe
 from .chat import op10_chat_format
 from .decontaminate import op1_decontaminate
 from .quality import op8_quality_rules
+from .repeats import op9_suffix_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op6_toxicity
 from .url_filter import op4_url_filter
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
