@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_byte_bpe
 from .chat import op10_chat_format
 from .decontaminate import op1_decontaminate
+from .near_dedup import op5_near_dedup
 from .quality import op8_quality_rules
 from .repeats import op9_suffix_dedup
 from .token_counts import op7_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
