@@ -102,9 +102,17 @@ def scan(data: np.ndarray, offsets: np.ndarray, windows: WindowSet) -> tuple[np.
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_words array<int>"
 
 
+def benchmark_bytes(bench: DataFrame) -> int:
+    return bench.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+
+
+def _window_set(bench: DataFrame, n: int) -> WindowSet:
+    """On the driver, of a benchmark whose size was checked."""
+    return WindowSet([tuple(r) for r in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").collect()], n)
+
+
 def _broadcast_way(docs: DataFrame, bench: DataFrame, n: int, share: int) -> DataFrame:
-    rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").collect()  # checked: at most max_broadcast_bytes
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in rows], n))
+    shared = docs.sparkSession.sparkContext.broadcast(_window_set(bench, n))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,35 +207,58 @@ def _shuffle_way(docs: DataFrame, bench: DataFrame, n: int, share: int) -> DataF
 def contamination(docs: DataFrame, bench: DataFrame, n: int = N, share: int = 20, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words, some hit), hit_words of each row of docs."""
     tune(docs.sparkSession)
-    size = bench.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    way = _broadcast_way if size <= max_broadcast_bytes else _shuffle_way
+    way = _broadcast_way if benchmark_bytes(bench) <= max_broadcast_bytes else _shuffle_way
     return way(docs.select("doc_id", "text"), bench.select("item_id", "text"), n, share)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", **how) -> DataFrame:
-    """docs without its contaminated documents, or ("spans") with the hit words cut out of them; the columns stay."""
-    (row,) = fresh(docs, "row_key")
-    texts_of = docs.select(F.col("text").alias("doc_id"), "text").distinct()
-    verdict = contamination(texts_of, bench, **how).where("contaminated").select(F.col("doc_id").alias(row), "hit_words")
-    if mode == "documents":
-        return docs.join(verdict, docs["text"] == verdict[row], "left_anti")
-    hit = fresh(docs, "hit_words")[0]
+def cut_words(text: str, hits: np.ndarray) -> str:
+    """text without the words at the given positions."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _, _ = words(LOWER[data], np.array([0, len(data)]), ALNUM)
+    keep = np.ones(len(data), bool)
+    for w in hits:
+        keep[starts[w] : ends[w]] = False
+    return data[keep].tobytes().decode()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = N, share: int = 20, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs without its contaminated documents, or ("spans") with the hit words cut out of those; the columns stay."""
+    tune(docs.sparkSession)
+    (key,) = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    if benchmark_bytes(bench) > max_broadcast_bytes:
+        verdict = _shuffle_way(keyed.groupBy(F.col(key).alias("doc_id")).agg(F.first("text").alias("text")), bench.select("item_id", "text"), n, share)
+        verdict = verdict.where("contaminated").select(F.col("doc_id").alias(key), "hit_words")
+        if mode == "documents":
+            return keyed.join(verdict, key, "left_anti").drop(key)
+        (hit,) = fresh(keyed, "hit_words")
+        joined = keyed.join(verdict.withColumnRenamed("hit_words", hit), key, "left").select(*docs.columns, hit)
+    else:
+        windows = docs.sparkSession.sparkContext.broadcast(_window_set(bench, n))
+        joined, hit = docs, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, out = batch.schema.get_field_index("text"), []
-            for t, hits in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if hits:
-                    data = np.frombuffer(t.encode(), np.uint8)
-                    starts, ends, _, _ = words(LOWER[data], np.array([0, len(data)]), ALNUM)
-                    keep = np.ones(len(data), bool)
-                    for w in hits:
-                        keep[starts[w] : ends[w]] = False
-                    t = data[keep].tobytes().decode()
-                out.append(t)
-            yield batch.drop_columns([hit]).set_column(i, "text", pa.array(out, batch.column(i).type))
-
-    return docs.join(verdict.withColumnRenamed("hit_words", hit), docs["text"] == verdict[row], "left").drop(row).mapInArrow(cut, docs.schema)
+            at = batch.schema.get_field_index("text")
+            column = batch.column(at)
+            if hit:
+                hits = batch.column(batch.num_columns - 1).to_pylist()
+                bad = [bool(h) for h in hits]
+                batch = batch.select(range(batch.num_columns - 1))
+            else:
+                data, offsets = texts(column)
+                n_words, hits = [], []
+                for a, b in slices(offsets):
+                    got = scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], windows.value)
+                    n_words += got[0].tolist()
+                    hits += got[1]
+                bad = [len(h) > 0 and share * len(h) >= w for h, w in zip(hits, n_words)]
+            if mode == "documents":
+                yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
+            else:
+                yield batch.set_column(at, batch.schema.field(at), pa.array([cut_words(t, h) if x else t for t, h, x in zip(column.to_pylist(), hits, bad)], column.type))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
