@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_byte_bpe
 from .chat import op10_chat_format
 from .decontaminate import op1_decontaminate
+from .language_model import op2_lm_score
 from .near_dedup import op5_near_dedup
 from .quality import op8_quality_rules
 from .repeats import op9_suffix_dedup
@@ -14,6 +15,7 @@ from .url_filter import op4_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
