@@ -73,4 +73,4 @@ def seed(root: int, *parts: Column) -> Column:
 
 def merged_flags(lists: Column) -> Column:
     """Order-preserving distinct union of collected string lists, trimmed, blanks dropped."""
-    return F.array_distinct(F.filter(F.transform(F.flatten(lists), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(lists), lambda x: F.trim(x)), lambda x: x != ""))

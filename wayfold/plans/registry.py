@@ -495,7 +495,7 @@ _AGENTS = "agents AS (SELECT 'scenario:' || (c_custkey % 10) AS scenario_id, 'ag
 
 @query(
     "WITH " + _AGENTS + ", " + sql("", "samples").removeprefix("WITH ").strip()
-    + f""" SELECT * FROM (SELECT s.scenario_id, s.trajectory_id, s.agent_id, CASE WHEN a.n IS NULL THEN 'unknown_agent' WHEN a.n > 1 THEN 'duplicate_agent' WHEN a.agent_class NOT IN ('vehicle','pedestrian','cyclist','bus','other') THEN 'unsupported_class' WHEN vc < 55 THEN 'too_few_valid_samples' WHEN coalesce(vt < 1000000000, true) THEN 'too_short' END AS reason
+    + f""" SELECT * FROM (SELECT s.scenario_id, s.trajectory_id, s.agent_id, CASE WHEN a.n IS NULL THEN 'unknown_agent' WHEN a.n > 1 THEN 'duplicate_agent' WHEN a.agent_class NOT IN ('vehicle','pedestrian','cyclist','other_dynamic','unknown') THEN 'unsupported_class' WHEN vc < 55 THEN 'too_few_valid_samples' WHEN coalesce(vt < 1000000000, true) THEN 'too_short' END AS reason
  FROM (SELECT scenario_id, trajectory_id, agent_id, count(*) FILTER (is_valid) AS vc, max({_VALID_T}) - min({_VALID_T}) AS vt FROM samples GROUP BY ALL) s LEFT JOIN (SELECT scenario_id, agent_id, count(*) AS n, min(agent_class) AS agent_class FROM agents GROUP BY ALL) a ON s.agent_id = a.agent_id AND s.scenario_id = a.scenario_id) WHERE reason IS NOT NULL"""
 )
 def validation_exclusions(spark, d):

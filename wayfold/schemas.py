@@ -14,31 +14,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed vocabularies, in rank order.
-AGENT_CLASSES = ("vehicle", "pedestrian", "cyclist", "bus", "other")
+AGENT_CLASSES = ("vehicle", "pedestrian", "cyclist", "other_dynamic", "unknown")
+ORIGIN_TYPES = ("source_ground_truth", "source_observation", "synthetic", "oracle_converted", "inferred", "decoded", "edited", "derived_metric")
 PRIMITIVES = ("hold", "linear", "cubic_hermite")
 EVENT_TYPES = ("stop", "left_turn", "right_turn", "acceleration", "braking", "gap")
 WAYPOINT_ROLES = (
     "track_start", "track_end", "run_start", "run_end", "gap_start", "gap_end", "stop_start", "stop_end", "turn_entry",
     "turn_apex", "turn_exit", "acceleration_start", "acceleration_end", "braking_start", "braking_end",
 )
-CATEGORIES = ("stationary", "stop_and_go", "left_turn", "right_turn", "accelerating", "braking", "straight", "mixed", "gap_affected")
+CATEGORIES = ("stationary", "straight", "left_turn", "right_turn", "stop_and_go", "accelerating", "braking", "mixed", "gap_affected")
+MAP_ELEMENTS = ("lane_centerline", "lane_boundary", "road_area", "crosswalk", "walkway", "junction_area", "access_zone", "other")
+GEOMETRIES = ("point", "linestring", "polygon", "multilinestring", "multipolygon")
+DIRECTIONS = ("directed", "bidirectional", "unknown", "not_applicable")
+EXCLUSION_REASONS = (
+    "adapter_failure", "invalid_timestamps", "insufficient_samples", "insufficient_duration", "unsupported_agent_class", "no_usable_map",
+    "insufficient_trajectory_coverage", "coordinate_frame_mismatch", "duplicate", "geographic_leakage_conflict", "invalid_geometry",
+    "resource_limit_exclusion", "other_documented_reason",
+)
 SPLITS = ("smoke", "development", "pilot", "test", "held_out_city")
 
-#: Columns of the canonical tables: name:type, "?" marks nullable ones.
+#: Columns of the canonical tables (fixed values): name:type, "?" marks nullable ones, "[]" lists.
 _COLUMNS = {
-    "scenario_manifest": "scenario_id:string dataset_id:string dataset_version:string source_scenario_id:string coordinate_frame_id:string city:string? start_time_ns:long end_time_ns:long origin_x_m:double origin_y_m:double origin_z_m:double? focal_agent_id:string? ego_agent_id:string? agent_count:int trajectory_count:int sample_count:int map_element_count:int origin_type:string source_identity:string quality_flags:string[]",
-    "coordinate_frame_metadata": "scenario_id:string coordinate_frame_id:string frame_kind:string crs:string? parent_frame_id:string? transform_to_parent:double[]? origin_x_m:double origin_y_m:double origin_z_m:double? axis_x:string axis_y:string axis_z:string? units:string handedness:string origin_type:string quality_flags:string[]",
+    "scenario_manifest": "scenario_id:string dataset_id:string dataset_version:string split_name:string city_or_region:string? source_scenario_id:string? start_time_ns:long end_time_ns:long coordinate_frame_id:string origin_x_m:double origin_y_m:double origin_z_m:double? source_crs:string? has_elevation:boolean agent_count:int source_map_available:boolean quality_flags:string[] adapter_name:string adapter_version:string source_checksum:string?",
+    "coordinate_frame_metadata": "scenario_id:string coordinate_frame_id:string parent_frame_id:string? frame_type:string origin_x_m:double origin_y_m:double origin_z_m:double? axis_convention:string distance_unit:string angle_unit:string timestamp_unit:string source_crs:string? has_elevation:boolean transform_to_parent_4x4:double[]? origin_type:string quality_flags:string[]",
     "agent_metadata": "scenario_id:string agent_id:string source_agent_id:string? agent_class:string length_m:float? width_m:float? height_m:float? first_time_ns:long last_time_ns:long sample_count:int is_focal_agent:boolean is_ego_agent:boolean origin_type:string quality_flags:string[]",
     "trajectory_samples": "scenario_id:string agent_id:string trajectory_id:string sample_index:int timestamp_ns:long x_m:double y_m:double z_m:double? heading_rad:double? velocity_x_mps:double? velocity_y_mps:double? speed_mps:double? acceleration_x_mps2:double? acceleration_y_mps2:double? is_observed:boolean is_valid:boolean origin_type:string quality_flags:string[]",
-    "vector_map_elements": "scenario_id:string map_element_id:string element_type:string geometry_type:string geometry_wkb:binary directionality:string left_neighbor_id:string? right_neighbor_id:string? predecessor_ids:string[] successor_ids:string[] lane_type:string? is_intersection:boolean? origin_type:string quality_flags:string[]",
-    "procedural_tape_manifest": "tape_id:string scenario_id:string coordinate_frame_id:string codec_id:string codec_version:string configuration_identity:string source_identity:string source_validation_identity:string track_count:int run_count:int segment_count:int hold_count:int linear_count:int hermite_count:int sample_count:int valid_sample_count:int origin_type:string quality_flags:string[]",
-    "procedural_tracks": "tape_id:string procedural_track_id:string scenario_id:string agent_id:string trajectory_id:string agent_class:string start_time_ns:long end_time_ns:long run_count:int segment_count:int source_sample_count:int valid_sample_count:int source_identity:string origin_type:string quality_flags:string[]",
-    "procedural_segments": "tape_id:string procedural_track_id:string segment_id:string run_index:int segment_index:int primitive_type:string start_source_sample_index:int end_source_sample_index:int start_time_ns:long end_time_ns:long start_x_m:double start_y_m:double start_z_m:double? end_x_m:double end_y_m:double end_z_m:double? start_heading_rad:double? end_heading_rad:double? start_velocity_x_mps:double? start_velocity_y_mps:double? end_velocity_x_mps:double? end_velocity_y_mps:double? parameter_values:double[] origin_type:string quality_flags:string[]",
-    "semantic_waypoints": "tape_id:string procedural_track_id:string waypoint_id:string waypoint_index:int waypoint_role:string timestamp_ns:long source_sample_index:int x_m:double y_m:double z_m:double? heading_rad:double? speed_mps:double? related_event_ids:string[] origin_type:string quality_flags:string[]",
+    "vector_map_elements": "scenario_id:string map_element_id:string element_type:string geometry_type:string geometry_wkb:binary directionality:string parent_element_id:string? successor_ids:string[] predecessor_ids:string[] left_neighbor_id:string? right_neighbor_id:string? semantic_attributes_json:string? origin_type:string quality_flags:string[]",
+    "procedural_tape_manifest": "tape_id:string scenario_id:string coordinate_frame_id:string source_dataset_id:string source_dataset_version:string source_validation_report_identity:string? encoder_name:string encoder_version:string encoder_parameters_identity:string start_time_ns:long end_time_ns:long track_count:int segment_count:int source_sample_count:long encoded_valid_sample_count:long has_elevation:boolean origin_type:string quality_flags:string[]",
+    "procedural_tracks": "tape_id:string scenario_id:string procedural_track_id:string agent_id:string trajectory_id:string agent_class:string start_time_ns:long end_time_ns:long source_sample_count:int valid_sample_count:int run_count:int segment_count:int has_elevation:boolean origin_type:string quality_flags:string[]",
+    "procedural_segments": "tape_id:string procedural_track_id:string segment_id:string run_index:int segment_index:int primitive_type:string source_start_sample_index:int source_end_sample_index:int start_time_ns:long end_time_ns:long start_x_m:double start_y_m:double start_z_m:double? end_x_m:double end_y_m:double end_z_m:double? start_heading_rad:double? end_heading_rad:double? start_velocity_x_mps:double? start_velocity_y_mps:double? end_velocity_x_mps:double? end_velocity_y_mps:double? parameter_values:double[] origin_type:string quality_flags:string[]",
+    "semantic_waypoints": "tape_id:string procedural_track_id:string waypoint_id:string waypoint_index:int waypoint_role:string timestamp_ns:long source_sample_index:int? x_m:double y_m:double z_m:double? heading_rad:double? speed_mps:double? related_event_ids:string[] origin_type:string quality_flags:string[]",
     "motion_events": "tape_id:string procedural_track_id:string event_id:string event_index:int event_type:string start_waypoint_id:string anchor_waypoint_id:string end_waypoint_id:string start_time_ns:long anchor_time_ns:long end_time_ns:long magnitude_value:double? semantic_attributes_json:string origin_type:string quality_flags:string[]",
-    "motion_categories": "category_id:string category_label:string agent_class:string event_signature_json:string member_track_count:int template_count:int representative_template_id:string? origin_type:string quality_flags:string[]",
-    "route_templates": "template_id:string scenario_id:string coordinate_frame_id:string category_id:string representative_track_id:string representative_run_index:int geometry_wkb:binary path_length_m:double duration_ns:long member_count:int mean_path_error_m:double maximum_path_error_m:double origin_type:string quality_flags:string[]",
-    "route_template_memberships": "template_id:string procedural_track_id:string membership_index:int run_index:int agent_id:string trajectory_id:string is_representative:boolean mean_path_error_m:double maximum_path_error_m:double start_distance_m:double end_distance_m:double path_length_ratio:double duration_ns:long origin_type:string quality_flags:string[]",
+    "motion_categories": "category_id:string category_label:string agent_class:string event_signature_json:string representative_template_id:string template_count:int track_count:int origin_type:string quality_flags:string[]",
+    "route_templates": "template_id:string category_id:string scenario_id:string coordinate_frame_id:string representative_track_id:string member_count:int geometry_type:string geometry_wkb:binary path_length_m:double duration_ns:long event_signature_json:string semantic_attributes_json:string origin_type:string quality_flags:string[]",
+    "route_template_memberships": "template_id:string procedural_track_id:string membership_index:int scenario_id:string agent_id:string trajectory_id:string mean_path_error_m:double maximum_path_error_m:double start_distance_m:double end_distance_m:double path_length_ratio:double duration_ratio:double map_route_signature_json:string? origin_type:string quality_flags:string[]",
 }
 _KEYS = {
     "scenario_manifest": ("scenario_id", "scenario_id"),
