@@ -137,6 +137,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return table_of(_P), table_of(_P_INV)
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Inverse powers of the hash's base for at least n places."""
+    return _powers(1 << max(16, int(n).bit_length()))[1]
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums of a polynomial over the bytes; `span_hash` cuts any span's hash out of them."""
     size = 1 << max(16, int(len(data)).bit_length())

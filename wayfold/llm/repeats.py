@@ -7,7 +7,7 @@ Full suffix sorting of a large corpus is a sort of all its bytes.  Here it is do
 2. Runs are dealt out by class as (class, hash of all bytes that the run's strings cover).  A run whose bytes were
    seen earlier is covered as a whole.  A class with one kind of run holds no other repeats.  Both need no text.
 3. Only the runs left, where repeats begin, end or differ, send their bytes.  Their group builds an enhanced suffix
-   array (prefix doubling), scans it with a stack into the tree of common-prefix intervals, tests each interval's left
+   array, scans it with a stack into the tree of common-prefix intervals, tests each interval's left
    extension for diversity, and so finds the maximal repeats with all their occurrences.  All but the first occurrence
    are covered.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, prefix_hash, span_hash, table, texts
+from .common import U, inverse_powers, prefix_hash, span_hash, table, texts
 from .exchange import REPLY, SENT, chunk_table, cut_by, groups_for, open_chunk, pack, rows, small, unpack
 
 LENGTH = 100
@@ -38,6 +38,8 @@ GRAM = 32
 #: Bytes of text for which there is one hash group, and that one kernel call works on.
 GROUP_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
+#: Bits for a place in one kernel call's bytes (fewer than twice PIECE_BYTES).
+PLACE_BITS = 21
 
 NULL_ID = np.iinfo(np.int64).min
 
@@ -52,46 +54,36 @@ def sliding(a: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
 
 
 class Runs:
-    """Runs of strings of one class: row of the text, first start in it, number of strings, class, hash of covered bytes, whether the class's substring recurs inside."""
+    """Runs of strings with one anchor: row of the text, first start in it, number of strings, class, hash of covered bytes.
+
+    A string's anchor is its leftmost substring of least hash; the class is that hash.  No two strings of a run are
+    equal, as their anchors stand at different places in them.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         parts = [self._of(data, *piece, length) for piece in _pieces(offsets, length)]
-        names = ("row", "start", "count", "kind", "cover", "again")
-        for k, name in enumerate(names):
-            setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, U if name in ("kind", "cover") else np.int64))
+        for k, name in enumerate(("row", "start", "count", "kind", "cover")):
+            setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, U if k > 2 else np.int64))
 
     @staticmethod
     def _of(data, row, begin, end, length):
-        sizes = end - begin
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = np.concatenate(([0], np.cumsum(end - begin)))
         part = np.concatenate([data[a:b] for a, b in zip(begin.tolist(), end.tolist())])
-        sums = prefix_hash(part)
-        at = np.arange(len(part) - GRAM + 1)
-        h = span_hash(sums, at, at + GRAM)
-        wide = length - GRAM + 1
-        least = sliding(h, wide, np.minimum)
-        first = np.searchsorted(bounds, np.arange(len(least)), "right") - 1
-        valid = np.arange(len(least)) + length <= bounds[first + 1]
+        sums, h = gram_hashes(part, GRAM)
+        spot = U((1 << PLACE_BITS) - 1)
+        least = sliding((h & ~spot) | np.arange(len(h), dtype=U), length - GRAM + 1, np.minimum)  # hash, then place
+        valid = np.ones(len(least), bool)
+        for b in bounds[1:].tolist():
+            valid[max(0, b - length + 1) : b] = False
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
         starts = np.flatnonzero(new)
-        if not len(starts):
-            return [np.zeros(0, U if k in (3, 4) else np.int64) for k in range(6)]
-        run = np.cumsum(new) - 1
-        new |= valid & ((np.arange(len(least)) - starts[np.maximum(run, 0)]) % wide == 0)
-        starts = np.flatnonzero(new)
-        count = np.bincount((np.cumsum(new) - 1)[valid], minlength=len(starts))
-        # substrings that are the least of some string, to see a class's substring twice in one run
-        most = sliding(np.concatenate((np.zeros(wide - 1, U), np.where(valid, least, U(0)), np.zeros(wide - 1, U))), wide, np.maximum)[: len(h)]
-        chosen = np.flatnonzero(most == h)
-        twice = np.zeros(len(chosen) + 1, np.int64)
-        twice[1:-1] = np.cumsum(h[chosen[1:]] == h[chosen[:-1]]) if len(chosen) > 1 else 0
-        twice[-1:] = twice[-2:-1] if len(chosen) else 0
-        low = np.searchsorted(chosen, starts)
-        high = np.searchsorted(chosen, starts + count + wide - 1) - 1
-        again = twice[np.maximum(high, low)] > twice[low]
-        piece = first[starts]
-        return row[piece], starts - bounds[piece] + begin[piece], count, least[starts], span_hash(sums, starts, starts + count + length - 1), again.astype(np.int64)
+        stops = np.append(starts, len(valid))[1:]
+        dead = np.flatnonzero(~valid)
+        if len(dead):
+            stops = np.minimum(stops, np.append(dead, len(valid))[np.searchsorted(dead, starts)])
+        piece = np.searchsorted(bounds, starts, "right") - 1
+        return row[piece], starts - bounds[piece] + begin[piece], stops - starts, h[(least[starts] & spot).astype(np.int64)], span_hash(sums, starts, stops + length - 1)
 
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,6 +104,12 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.n
         yield tuple(np.array(x) for x in zip(*held))
 
 
+def gram_hashes(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a stretch of bytes, and a cheap hash of every n bytes in it."""
+    sums = prefix_hash(data)
+    return sums, (sums[n:] - sums[:-n]) * inverse_powers(len(data))[: len(data) - n + 1] * U(0xD6E8FEB86659FD93)
+
+
 class Chunk:
     """A chunk's texts with their runs; the same whenever it is opened."""
 
@@ -123,9 +121,11 @@ class Chunk:
     def sent(self, ids: np.ndarray, groups: int):
         """Indexes of the runs that are sent, by group: of equal runs the first; and the groups."""
         r = self.runs
-        order = np.lexsort((r.start, ids[r.row], r.cover, r.kind))
+        key, by_row = r.kind ^ r.cover * U(0x9E3779B97F4A7C15), ids[r.row]
+        order = np.arange(len(key)) if (by_row[1:] >= by_row[:-1]).all() else np.lexsort((r.start, by_row))
+        order = order[np.argsort(key[order], kind="stable")]
         new = np.ones(len(order), bool)
-        new[1:] = (r.kind[order][1:] != r.kind[order][:-1]) | (r.cover[order][1:] != r.cover[order][:-1])
+        new[1:] = key[order][1:] != key[order][:-1]
         chosen = order[new]
         return chosen, group_of(r.kind[chosen], groups)
 
@@ -151,7 +151,7 @@ def _send(chunk: int, c: Chunk, groups: int, chosen: np.ndarray, g: np.ndarray,
             ends = r.start[i] + r.count[i] + with_bytes - 1
             what |= {"count": small(r.count[i]), "bytes": b"".join(c.data[a:b].tobytes() for a, b in zip(r.start[i].tolist(), ends.tolist()))}
         else:
-            what |= {"high": (r.cover[i] >> U(32)).astype(np.uint32), "low": (r.cover[i] >> U(16)).astype(np.uint16), "again": np.packbits(r.again[i].astype(bool))}
+            what |= {"high": (r.cover[i] >> U(32)).astype(np.uint32), "low": (r.cover[i] >> U(16)).astype(np.uint16)}
         for column, v in zip(out, (k, chunk, pack(**what))):
             column.append(v)
     return rows(SENT, *out)
@@ -171,46 +171,40 @@ def settle(table: pa.Table) -> pa.Table:
     """What becomes of each run sent to a group.  0: not repeated; 1: covered; 2: its bytes are needed."""
     parts, sizes, chunk, get, ids = _gather(table)
     kind, cover = get("kind", U), get("high", U) << U(16) | get("low", U)
-    again = np.concatenate([np.unpackbits(p["again"], count=len(p["kind"])) for p in parts]).astype(bool)
     order = np.lexsort((get("row", np.int64), chunk, get("start", np.int64), ids, cover, kind))
     new_kind, new = np.ones(len(order), bool), np.ones(len(order), bool)
     new_kind[1:] = kind[order][1:] != kind[order][:-1]
     new[1:] = new_kind[1:] | (cover[order][1:] != cover[order][:-1])
     covers = np.bincount(np.cumsum(new_kind) - 1, weights=new)[np.cumsum(new_kind) - 1]
     state = np.empty(len(order), np.uint8)
-    state[order] = np.where(~new, 1, np.where((covers > 1) | again[order], 2, 0))
+    state[order] = np.where(~new, 1, np.where(covers > 1, 2, 0))
     g = table.column("g").to_pylist()
     blobs = [pack(state=s) for s in np.split(state, np.cumsum(sizes)[:-1])]
     return pa.Table.from_batches([rows(REPLY, table.column("chunk").to_pylist(), g, blobs)])
 
 
-def ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every position by its next `depth` bytes (a suffix array cut at that depth), by prefix doubling.
+def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(those of `at` whose next `depth` bytes recur in `at`, rank of each among them by these bytes).
 
-    Ranks near the end, with fewer bytes to go, have no meaning.
+    Equal strings meet by hash; one of each is sorted by its bytes.
     """
-    width = 8 if depth >= 8 else 1
-    padded = np.concatenate((data, np.zeros(depth + 8, np.uint8)))
-    key = np.zeros(len(data), U)
-    for k in range(width):
-        key = key << U(8) | padded[k : k + len(data)].astype(U)
-
-    def dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(len(key), np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(new)
-        return rank
-
-    rank = dense(key)
-    while width < depth:
-        step = min(width, depth - width)
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(0, len(rank) - step)] = rank[step:]
-        rank = dense(rank.astype(U) << U(32) | ahead.astype(U))
-        width += step
-    return rank
+    h = span_hash(prefix_hash(data), at, at + depth)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    recurs = np.repeat(size > 1, size)
+    one = at[order[new][size > 1]]
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    keys = []
+    for byte in range(0, depth, 8):
+        key = np.zeros(len(one), U)
+        for k in range(min(8, depth - byte)):
+            key = key << U(8) | padded[one + byte + k].astype(U)
+        keys.append(key)
+    rank = np.empty(len(one), np.int64)
+    rank[np.lexsort(keys[::-1])] = np.arange(len(one))
+    return order[recurs], np.repeat(rank, size[size > 1])
 
 
 def interval_tree(lcp: list[int], left: list[int], order: list[int], least: int, groups: list | None = None) -> list[int]:
@@ -260,13 +254,7 @@ def repeats(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarr
 
     place: rank of each in reading order.  Returns (positions, cover) in suffix order, see interval_tree.
     """
-    rank = ranks(data, length)[at]
-    order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
-    shared = np.zeros(len(order), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    k = order[shared]
+    k, rank = suffix_ranks(data, at, length)
     if not len(k):
         return k, []
     room = ends[k] - at[k] - length
@@ -277,15 +265,17 @@ def repeats(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarr
         tail = np.concatenate([np.where(np.arange(deep) < room[i : i + step, None], padded[at[k][i : i + step, None] + length + np.arange(deep)], 0).astype(np.uint8) for i in range(0, len(k), step)])
         wide = -(-deep // 8) * 8
         keys = np.ascontiguousarray(np.pad(tail, ((0, 0), (0, wide - deep)))).view(">u8").astype(U)
-        fine = np.lexsort((*[keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)], rank[k]))
-        k, room, tail = k[fine], room[fine], tail[fine]
+        fine = np.lexsort((*[keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)], rank))
+        k, rank, room, tail = k[fine], rank[fine], room[fine], tail[fine]
         differ = tail[1:] != tail[:-1]
         common = np.where(differ.any(axis=1), differ.argmax(axis=1), deep)
         common = np.minimum(common, np.minimum(room[1:], room[:-1]))
     else:
-        common = np.zeros(max(0, len(k) - 1), np.int64)
+        fine = np.argsort(rank, kind="stable")
+        k, rank = k[fine], rank[fine]
+        common = np.zeros(len(k) - 1, np.int64)
     lcp = np.zeros(len(k), np.int64)
-    lcp[1:] = np.where(rank[k][1:] == rank[k][:-1], common + length, 0)
+    lcp[1:] = np.where(rank[1:] == rank[:-1], common + length, 0)
     p = at[k]
     left = np.where(p == begins[k], -1 - np.arange(len(p)), data[np.maximum(p - 1, 0)].astype(np.int64))
     return k, interval_tree(lcp.tolist(), left.tolist(), place[k].tolist(), length, groups)
