@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, motion
-from ..operators import codecs, events, layout, metrics, replay, sequence, spatial, split, statistics, validate
+from ..operators import campaign, codecs, events, feasibility, layout, metrics, replay, sequence, spatial, split, statistics, tape, validate
 from ..operators.sequence import TRACK
 from ..sources import bindings
 from .oracle import PI, sql, stats
@@ -640,6 +640,99 @@ def wrapped_headings(spark, d):
     return rounded(read(spark, d, "orders").select("o_orderkey", motion.wrap(F.col("o_totalprice") / 1000).alias("heading")))
 
 
+# --- feasibility of layouts ----------------------------------------------------------------------------------------
+
+FEASIBILITY = feasibility.FeasibilityConfig(cell_m=20.0, end_cell_m=25.0, end_exclusion_m=1.0, turn_radius_m=3.0, turn_rad=1.0, start_m=80, end_m=80, mean_m=80, maximum_m=150)
+
+
+def _paths(spark, d):
+    """First runs that move, as paths of eight points."""
+    p = layout.resample(_valid(spark, d).where("run_index = 0"), 8).groupBy(*layout.RUN).agg(F.array_sort(F.collect_list(F.struct("point", "x_m", "y_m"))).alias("path"))
+    return p.select("scenario_id", F.col("trajectory_id").alias("track"), "path")
+
+
+_PTS = "pts AS (SELECT scenario_id, trajectory_id AS track, point, x_m, y_m FROM (RESAMPLE) WHERE run_index = 0)".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
+
+
+@query(sql("SELECT c.scenario_id, count(*) AS occupied_cells, count(*) FILTER (n >= 2) AS repeated_cells, coalesce(max(t.k), 0) AS supported_tracks FROM (SELECT scenario_id, cx, cy, count(*) AS n FROM at_ GROUP BY ALL) c LEFT JOIN (SELECT a.scenario_id, count(DISTINCT a.track) AS k FROM at_ a JOIN at_ b ON a.scenario_id = b.scenario_id AND a.cx = b.cx AND a.cy = b.cy AND a.track <> b.track GROUP BY ALL) t ON t.scenario_id = c.scenario_id GROUP BY c.scenario_id", "lengths", recursive=_PTS + ", at_ AS (SELECT DISTINCT scenario_id, track, CAST(floor(x_m / 20) AS BIGINT) AS cx, CAST(floor(y_m / 20) AS BIGINT) AS cy FROM pts)"))
+def shared_cells(spark, d):
+    return feasibility.shared_cells(_paths(spark, d), FEASIBILITY)
+
+
+_SIDE = "SELECT scenario_id, count(*) FILTER (n >= 2) AS {0}, count(*) FILTER (n >= 2 AND m >= 2) AS {1} FROM (SELECT scenario_id, {2}, count(DISTINCT track) AS n, count(DISTINCT {3}) AS m FROM ends_ GROUP BY scenario_id, {2}) GROUP BY scenario_id"
+
+
+@query(sql("SELECT a.scenario_id, repeated_starts, splits, repeated_ends, merges FROM (" + _SIDE.format("repeated_starts", "splits", "s", "e") + ") a JOIN (" + _SIDE.format("repeated_ends", "merges", "e", "s") + ") b ON a.scenario_id = b.scenario_id", "lengths", recursive=_PTS + ", ends_ AS (SELECT scenario_id, track, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 0) AS s, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 7) AS e FROM pts GROUP BY ALL)"))
+def shared_ends(spark, d):
+    return feasibility.shared_ends(_paths(spark, d), FEASIBILITY)
+
+
+_CROSS = """, pc AS (SELECT *, lead(x_m) OVER w AS x1, lead(y_m) OVER w AS y1, first_value(x_m) OVER v AS fx, first_value(y_m) OVER v AS fy, last_value(x_m) OVER v AS lx, last_value(y_m) OVER v AS ly FROM pts WINDOW w AS (PARTITION BY scenario_id, track ORDER BY point), v AS (PARTITION BY scenario_id, track ORDER BY point ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+hit2 AS (SELECT *, ax + u * (ax1 - ax) AS x, ay + u * (ay1 - ay) AS y FROM (SELECT *, ((bx - ax) * (by1 - by_) - (by_ - ay) * (bx1 - bx)) / nullif(det, 0) AS u, ((bx - ax) * (ay1 - ay) - (by_ - ay) * (ax1 - ax)) / nullif(det, 0) AS v FROM (SELECT a.scenario_id, a.x_m AS ax, a.y_m AS ay, a.x1 AS ax1, a.y1 AS ay1, b.x_m AS bx, b.y_m AS by_, b.x1 AS bx1, b.y1 AS by1, a.fx AS afx, a.fy AS afy, a.lx AS alx, a.ly AS aly, b.fx AS bfx, b.fy AS bfy, b.lx AS blx, b.ly AS bly, (a.x1 - a.x_m) * (b.y1 - b.y_m) - (a.y1 - a.y_m) * (b.x1 - b.x_m) AS det FROM pc a JOIN pc b ON a.scenario_id = b.scenario_id AND a.track < b.track WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL)) WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1),
+kept AS (SELECT * FROM hit2 WHERE least(sqrt((x-afx)^2+(y-afy)^2), sqrt((x-alx)^2+(y-aly)^2), sqrt((x-bfx)^2+(y-bfy)^2), sqrt((x-blx)^2+(y-bly)^2)) > 1),
+tv AS (SELECT scenario_id, x_m AS tx, y_m AS ty FROM (SELECT *, h - lag(h) OVER (PARTITION BY scenario_id, track ORDER BY point) AS dh FROM (SELECT *, atan2(y1 - y_m, x1 - x_m) AS h FROM pc WHERE x1 IS NOT NULL)) WHERE abs(atan2(sin(dh), cos(dh))) >= 1.0)"""
+
+
+@query(sql("SELECT scenario_id, CAST(round_even(x, 0) AS BIGINT) AS x, CAST(round_even(y, 0) AS BIGINT) AS y, CASE WHEN bool_or(EXISTS (SELECT 1 FROM tv WHERE tv.scenario_id = kept.scenario_id AND sqrt((x - tx)^2 + (y - ty)^2) <= 3)) THEN 'observed_transition_supported' ELSE 'geometric_only_ambiguous' END AS reading FROM kept GROUP BY 1, 2, 3", "lengths", recursive=_PTS + _CROSS))
+def crossings(spark, d):
+    return feasibility.crossings(_paths(spark, d), FEASIBILITY)
+
+
+@query()
+def support_groups(spark, d):
+    p = _paths(spark, d)
+    return feasibility.support_groups(spark, p, feasibility.agreeing_pairs(p, FEASIBILITY))
+
+
+# --- tapes and campaigns -------------------------------------------------------------------------------------------
+
+
+def _tape(spark, d):
+    s = bindings.samples(spark, d)
+    segs = _segments(spark, d)
+    agents = s.select("scenario_id", "agent_id", F.lit("vehicle").alias("agent_class")).distinct()
+    tracks = tape.track_table(s, segs, agents, "uniform-5")
+    return tape.tape_table(tracks, "uniform-5", "1", "events", "stride=5"), tracks, tape.segment_table(segs, "uniform-5")
+
+
+@query("SELECT CAST('' AS VARCHAR) AS \"table\", CAST('' AS VARCHAR) AS key, CAST('' AS VARCHAR) AS problem WHERE false")
+def tape_problems(spark, d):
+    return tape.tape_problems(*_tape(spark, d))
+
+
+@query(sql("SELECT s.scenario_id, count(DISTINCT s.trajectory_id) AS track_count, CAST(max(k) AS BIGINT) AS segment_count, count(*) AS source_sample_count, count(*) FILTER (is_valid) AS encoded_valid_sample_count, bool_or(is_valid AND z_m IS NOT NULL) AS has_elevation FROM samples s JOIN (SELECT scenario_id, count(*) AS k FROM segs GROUP BY ALL) g ON g.scenario_id = s.scenario_id GROUP BY s.scenario_id", "samples", "segs"))
+def tape_manifest(spark, d):
+    return _tape(spark, d)[0].select("scenario_id", F.col("track_count").cast("long").alias("track_count"), F.col("segment_count").cast("long").alias("segment_count"), "source_sample_count", "encoded_valid_sample_count", "has_elevation")
+
+
+ENCODERS = {
+    "exact": sequence.exact_segments,
+    "uniform-2": lambda v: sequence.segments(sequence.uniform_keyframes(v, 2)),
+    "uniform-5": lambda v: sequence.segments(sequence.uniform_keyframes(v, 5)),
+    "linear-20": lambda v: codecs.encode_linear(v, 20.0),
+}
+
+
+def _campaign(spark, d):
+    v = _valid(spark, d)
+    return campaign.ratios(campaign.execute(v, ENCODERS), sequence.exact_segments(v), v)
+
+
+@query()
+def campaign_ratios(spark, d):
+    return _campaign(spark, d)
+
+
+@query()
+def campaign_totals(spark, d):
+    return campaign.configuration_totals(_campaign(spark, d))
+
+
+@query()
+def campaign_comparisons(spark, d):
+    return campaign.compare(_campaign(spark, d), "segment_ratio", {k: i for i, k in enumerate(ENCODERS)})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs, keyframes, segments, replay and error statistics over one table of events."""
     return error_stats_micro(spark, sf_dir)
