@@ -17,6 +17,7 @@ columns pass through; a result column replaces an input column of its name.  Emp
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -29,8 +30,10 @@ from pyspark.sql import types as T
 from .common import tune
 
 #: Distinct pieces, and transitions of the transducer, that a worker keeps before it starts afresh.
-MAX_PIECES = 150_000
+MAX_PIECES = 400_000
 MAX_TRANSITIONS = 400_000
+#: A rest of a piece up to this length runs outside the determinised machine once it left what is known.
+REST_BYTES = 24
 #: Characters of a text from which pieces are taken from an iterator instead of a list.
 LONG_TEXT = 1 << 20
 
@@ -47,23 +50,36 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        self._child: dict[int, int] = {}  # trie of the tokens: node << 8 | byte -> node
+        self._token = [-1]  # token that ends at a node, or -1
+        self._inner = [True]  # a longer token goes on from here
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                at = node << 8 | byte
+                self._inner[node] = True
+                node = self._child.setdefault(at, len(self._token))
+                if node == len(self._token):
+                    self._token.append(-1)
+                    self._inner.append(False)
+            self._token[node] = i
         self._proper: dict[int, bool] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._split: dict[int, tuple[int, int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (None, (((), b""),))
+        start = (None, (((), 0),))
         self._ids = {start: 0}
         self._states = [start]
         self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging by rank; used on pairs of tokens only, and as the yardstick in tests."""
+    def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
+        """Plain merging by rank, of ranks under `below`; used on single tokens, and as the yardstick in tests."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            if self.ranks.get(parts[best] + parts[best + 1], below) >= below:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
@@ -73,73 +89,142 @@ class Transducer:
             known = self._proper[t] = self.merge(self.bytes_of[t]) == [t]
         return known
 
+    def _halves(self, t: int) -> tuple[int, int]:
+        """The two tokens whose merge makes t (t twice for a single byte)."""
+        if (known := self._split.get(t)) is None:
+            known = self._split[t] = tuple(self.merge(self.bytes_of[t], t)) if len(self.bytes_of[t]) > 1 else (t, t)
+        return known
+
     def _compatible(self, a: int | None, b: int) -> bool:
+        """True if a, b put together are encoded as a, b.
+
+        Merges across the border come from the right edge of a's merge tree and the left edge of b's.  Both trees are
+        taken apart from the last merge back; a pair at the border that would have merged before the edge did is a
+        conflict.
+        """
         if a is None:
             return True
-        if (known := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > MAX_TRANSITIONS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if (known := self._pairs.get((a, b))) is not None:
+            return known
+        pair, limit, known = (a, b), 1 << 60, True
+        while True:
+            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if joined is not None and joined < limit:
+                known = False
+                break
+            if a > b and self._halves(a)[1] != a or self._halves(b)[0] == b:
+                if self._halves(a)[1] == a:
+                    break
+                limit, a = a, self._halves(a)[1]
+            else:
+                limit, b = b + 1, self._halves(b)[0]
+        if len(self._pairs) > MAX_TRANSITIONS:
+            self._pairs.clear()
+        self._pairs[pair] = known
         return known
 
+    def _after(self, before: int | None, live: tuple, byte: int) -> list:
+        """The guesses that live on after a byte.
+
+        A guess is (tokens after what is agreed, trie node of the token under way; 0: none).
+        """
+        child, pairs = self._child, self._pairs
+        then = []
+        for done, node in live:
+            if (node := child.get(node << 8 | byte)) is None:
+                continue
+            if self._inner[node]:
+                then.append((done, node))
+            if (t := self._token[node]) >= 0:
+                if not self._is_proper(t):
+                    self._token[node] = -1
+                    continue
+                last = done[-1] if done else before
+                fits = True if last is None else pairs.get((last, t))
+                if self._compatible(last, t) if fits is None else fits:
+                    then.append(((*done, t), 0))
+        return then
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """One transition of the determinised machine, built when it is first taken."""
         before, live = self._states[state]
-        then = []
-        for done, part in live:
-            part += bytes((byte,))
-            if part in self.prefixes:
-                then.append((done, part))
-            if (t := self.ranks.get(part)) is not None and self._is_proper(t) and self._compatible(done[-1] if done else before, t):
-                then.append(((*done, t), b""))
-        out, agreed = [], 0
-        shortest = min(len(done) for done, _ in then)
-        while agreed < shortest and len({done[agreed] for done, _ in then}) == 1:
-            out.append(then[0][0][agreed])
-            agreed += 1
-        then = [(done[agreed:], part) for done, part in then]
-        last = out[-1] if out else before
-        key = (last if any(not done for done, _ in then) else None, tuple(sorted(then)))
+        then = self._after(before, live, byte)
+        out: tuple[int, ...] = ()
+        if len(then) == 1:
+            (out, node), = then
+            then = [((), node)]
+        else:
+            low, high = min(then)[0], max(then)[0]  # tuples are ordered, so all agree on what these two agree on
+            agreed, most = 0, min(len(low), len(high))
+            while agreed < most and low[agreed] == high[agreed]:
+                agreed += 1
+            if agreed:
+                out = low[:agreed]
+                then = [(done[agreed:], node) for done, node in then]
+        if out:
+            before = out[-1]
+        live = tuple(then)
+        if all(done for done, _ in live):
+            before = None
+        key = (before, live)
         to = self._ids.get(key)
         if to is None:
             to = self._ids[key] = len(self._states)
             self._states.append(key)
-        self._next[state << 8 | byte] = got = (to, tuple(out))
+        self._next[state << 8 | byte] = got = (to, out)
         return got
 
     def encode(self, piece: bytes) -> list[int]:
+        """Token ids of a piece.
+
+        The machine grows by one transition where a piece first leaves what is known; a short rest after that is run
+        guess by guess, as it would hardly be taken again.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         out: list[int] = []
-        state = 0
-        for byte in piece:
-            got = self._next.get(state << 8 | byte)
+        state, known, last = 0, self._next, len(piece) - 1
+        for i, byte in enumerate(piece):
+            got = known.get(state << 8 | byte)
             if got is None:
-                full = len(self._next) >= MAX_TRANSITIONS
-                key = self._states[state]
-                if full:  # start afresh, from the state it is in
+                if len(known) >= MAX_TRANSITIONS:  # start afresh, from the state it is in
+                    key = self._states[state]
                     self._reset()
+                    known = self._next
                     state = self._ids.setdefault(key, len(self._states))
                     if state == len(self._states):
                         self._states.append(key)
                 got = self._step(state, byte)
+                if last - i <= REST_BYTES:
+                    out += got[1]
+                    before, live = self._states[got[0]]
+                    for byte in piece[i + 1 :]:
+                        live = self._after(before, live, byte)
+                    return out + list(next((done for done, node in live if not node), ()))
             state, emitted = got
             out += emitted
-        out += next((done for done, part in self._states[state][1] if not part), ())
+        out += next((done for done, node in self._states[state][1] if not node), ())
         return out
 
 
 class Pieces(dict):
-    """piece -> its ids as decimals joined by commas, made once per distinct piece."""
+    """piece -> its ids as decimals joined by commas, made once per distinct piece.
+
+    Two generations: what was used lately survives when the older generation goes.
+    """
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.older: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = ",".join(map(str, self.machine.encode(piece.encode())))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.machine.encode(piece.encode())))
         if len(piece) < 200:
             self[piece] = ids
         return ids
@@ -209,6 +294,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False
     kept = [f for f in df.schema.fields if f.name.lower() not in names and f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches hold no cycles, and scanning them costs more than all else
         split, pieces, bytes_of, _ = codec(path, pattern)
         get = bytes_of.__getitem__
         for batch in batches:
