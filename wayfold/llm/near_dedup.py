@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, U, fresh, grams, mix, slices, table, texts, tune, words
+from .common import LOWER, NOT_SPACE, U, drop, fresh, grams, mix, slices, table, texts, tune, words
 from .components import connected_components
 from .exchange import groups_for
 
@@ -85,14 +85,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, n long, f1 long, f2 long, sig array<int>")
 
 
-def _leaves(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaf, id) of all small nodes, and of those still large at the last level."""
+def _leaves(spark: SparkSession, classes: DataFrame, made: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(leaf, id) of all small nodes, and of those still large at the last level; tables written for them are added to `made`."""
     now = classes.select("id", F.posexplode(F.array(*[F.slice("sig", t * DEPTH + 1, DEPTH) for t in range(TREES)])).alias("tree", "path"))
     now = now.select("id", F.xxhash64("tree", F.col("path")[0]).alias("leaf"), "path")
     small = []
     for level in range(1, DEPTH + 1):
         sizes = now.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
         now = table(spark, now.join(sizes, "leaf"), f"level-{level}")
+        made.append(now)
         small.append(now.where(F.col("size") <= LEAF).select("leaf", "id"))
         now = now.where(F.col("size") > LEAF)
         if level < DEPTH:
@@ -100,7 +101,8 @@ def _leaves(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFra
     out = small[0]
     for s in small[1:]:
         out = out.unionByName(s)
-    return out, table(spark, now.select("leaf", "id"), "large-leaves")
+    made.append(table(spark, now.select("leaf", "id"), "large-leaves"))
+    return out, made[-1]
 
 
 def _blocks(spark: SparkSession, large: DataFrame) -> DataFrame:
@@ -238,17 +240,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     some = drawn.where("n > 0 and doc_id is not null")
     firsts = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     classes = table(spark, some.join(firsts.withColumnRenamed("id", "least"), ["f1", "f2", "n"]).where("doc_id = least").groupBy(F.col("doc_id").alias("id"), "f1", "f2", "n").agg(F.first("sig").alias("sig")), "classes")
-    small, large = _leaves(spark, classes)
+    made = [classes]
+    small, large = _leaves(spark, classes, made)
     buckets = groups_for(classes.count(), 4000)
     members = small.unionByName(_blocks(spark, large))
     teams = table(spark, _candidates(members, classes, buckets), "teams")
+    made.append(teams)
     edges = table(spark, _links(spark, docs, classes, teams, shingle), "links")
     parts = connected_components(spark, edges)
     if not large.isEmpty():
         more = table(spark, _candidates(_rest(large, parts), classes, buckets), "teams")
+        made.append(more)
         if not more.isEmpty():
             edges = table(spark, edges.unionByName(_links(spark, docs, classes, more, shingle)), "links")
             parts = connected_components(spark, edges)
+    for t in made:  # the result needs the sketches and the components only
+        drop(spark, t)
     named = firsts.join(parts, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = drawn.select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
