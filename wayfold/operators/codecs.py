@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .grouped import per_group
 from .sequence import TRACK, chunks, numbered, segments
 
-_OUT = "scenario_id string, trajectory_id string, run_index int, chunk_index int, start_sample_index int, end_sample_index int, primitive_type string"
+_KEYS = (*TRACK, "run_index", "chunk_index")
+_KEY_DDL = "scenario_id string, trajectory_id string, run_index int, chunk_index int"
+_OUT = f"{_KEY_DDL}, start_sample_index int, end_sample_index int, primitive_type string"
 _SAMPLE = ("sample_index", "timestamp_ns", "x_m", "y_m", "z_m", "heading_rad", "velocity_x_mps", "velocity_y_mps")
+_INPUT = ("sample_index", "timestamp_ns", "x_m", "y_m", "z_m", "velocity_x_mps", "velocity_y_mps")
 
 
-def _chunk(t: pa.Table) -> tuple[np.ndarray, dict]:
-    t = t.sort_by("sample_index")
-    column = lambda n: np.array(t.column(n).to_numpy(zero_copy_only=False), float)
-    return t.column("sample_index").to_numpy(), {"t": t.column("timestamp_ns").to_numpy(), "x": column("x_m"), "y": column("y_m"), "z": column("z_m"), "vx": column("velocity_x_mps"), "vy": column("velocity_y_mps")}
+def _chunk(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {"t": c["timestamp_ns"]} | {n: np.asarray(c[k], float) for n, k in (("x", "x_m"), ("y", "y_m"), ("z", "z_m"), ("vx", "velocity_x_mps"), ("vy", "velocity_y_mps"))}
 
 
 def _search(valid: DataFrame, encode: Callable[[dict], list[tuple[int, int, str]]]) -> DataFrame:
     """Segments found by `encode` in each chunk, joined back to the samples at their ends."""
 
-    def run(keys: tuple, t: pa.Table) -> pa.Table:
-        index, c = _chunk(t)
-        found = encode(c)
-        n = len(found)
-        where = [pa.array([k.as_py()] * n, pa.string() if i < 2 else pa.int32()) for i, k in enumerate(keys)]
-        return pa.table([*where, pa.array([int(index[a]) for a, _, _ in found], pa.int32()), pa.array([int(index[b]) for _, b, _ in found], pa.int32()), pa.array([k for _, _, k in found], pa.string())], [c.split()[0] for c in _OUT.split(", ")])
+    def kernel(key: tuple, c: dict) -> Iterable[tuple]:
+        i = c["sample_index"]
+        return [(int(i[a]), int(i[b]), kind) for a, b, kind in encode(_chunk(c))]
 
     cut = chunks(valid)
-    found = cut.groupBy(*TRACK, "run_index", "chunk_index").applyInArrow(run, _OUT)
+    found = per_group(cut, _KEYS, ("sample_index",), _INPUT, kernel, _OUT)
     ends = cut.select(*TRACK, "run_index", "agent_id", *_SAMPLE)
     start = ends.select(*TRACK, "run_index", "agent_id", *[F.col(c).alias(f"start_{c}") for c in _SAMPLE])
     end = ends.select(*TRACK, "run_index", *[F.col(c).alias(f"end_{c}") for c in _SAMPLE])
@@ -60,25 +58,25 @@ def dual_bound_counters(valid: DataFrame, bound: float, velocity_bound: float) -
     """How many candidate segments of each track were tried, refused (by reason) and accepted."""
     names = ("intervals", "contract", "position", "velocity", "accepted")
 
-    def run(keys: tuple, t: pa.Table) -> pa.Table:
+    def kernel(key: tuple, c: dict) -> Iterable[tuple]:
         got: dict[str, int] = {}
-        kernels.candidates(_chunk(t)[1], bound, velocity_bound, kernels.PRIMITIVES, got)
-        return pa.table([pa.array([keys[0].as_py()]), pa.array([keys[1].as_py()]), *(pa.array([got.get(k, 0)], pa.int64()) for k in names)], [*TRACK, *names])
+        kernels.candidates(_chunk(c), bound, velocity_bound, kernels.PRIMITIVES, got)
+        return [tuple(got.get(k, 0) for k in names)]
 
-    per_chunk = chunks(valid).groupBy(*TRACK, "run_index", "chunk_index").applyInArrow(run, "scenario_id string, trajectory_id string, " + ", ".join(f"{k} long" for k in names))
+    per_chunk = per_group(chunks(valid), _KEYS, ("sample_index",), _INPUT, kernel, f"{_KEY_DDL}, " + ", ".join(f"{k} long" for k in names))
     return per_chunk.groupBy(*TRACK).agg(*[F.sum(k).alias(k) for k in names])
 
 
 def rdp_keyframes(valid: DataFrame, tolerance: float) -> DataFrame:
     """Samples kept by Ramer-Douglas-Peucker in each chunk."""
 
-    def run(keys: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("sample_index")
-        _, c = _chunk(t)
-        return t.take(pa.array(kernels.rdp(c["x"], c["y"], c["z"], tolerance)))
+    def kernel(key: tuple, c: dict) -> Iterable[tuple]:
+        x = _chunk(c)
+        return [(int(i),) for i in c["sample_index"][kernels.rdp(x["x"], x["y"], x["z"], tolerance)]]
 
     cut = chunks(valid)
-    return cut.groupBy(*TRACK, "run_index", "chunk_index").applyInArrow(run, cut.schema)
+    kept = per_group(cut, _KEYS, ("sample_index",), _INPUT, kernel, f"{_KEY_DDL}, sample_index int")
+    return cut.join(kept, [*_KEYS, "sample_index"], "left_semi")
 
 
 def encode_rdp(valid: DataFrame, tolerance: float) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.motion import describe, heading_error, interval_iou, nearest_rank, position_error, velocity_error
 from ..schemas import EVENT_TYPES
 from . import kernels
+from .grouped import per_group
 from .replay import gap_probes, replay
 from .sequence import TRACK, run_table
 
@@ -67,14 +69,13 @@ def matches(source: DataFrame, other: DataFrame) -> DataFrame:
     both = side(source, 0).unionByName(side(other, 1))
     schema = "scenario_id string, trajectory_id string, event_type string, source_events long, other_events long, matched long, start_differences array<long>, end_differences array<long>, ious array<double>"
 
-    def run(keys: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("side", "event_index", "start_time_ns", "end_time_ns"))))
-        a, b = ([(r[2], r[3]) for r in rows if r[0] == s] for s in (0, 1))
-        m = kernels.greedy_pairs(a, b)
-        names = [x.split()[0] for x in schema.split(", ")]
-        return pa.table([*[pa.array([k.as_py()]) for k in keys], pa.array([len(a)]), pa.array([len(b)]), pa.array([len(m)]), pa.array([[b[j][0] - a[i][0] for i, j, _ in m]], pa.list_(pa.int64())), pa.array([[b[j][1] - a[i][1] for i, j, _ in m]], pa.list_(pa.int64())), pa.array([[s for _, _, s in m]], pa.list_(pa.float64()))], names)
+    def kernel(key: tuple, c: dict) -> Iterable[tuple]:
+        spans = [[(int(p), int(q)) for p, q in zip(c["start_time_ns"][c["side"] == s], c["end_time_ns"][c["side"] == s])] for s in (0, 1)]
+        m = kernels.greedy_pairs(*spans)
+        a, b = spans
+        return [(len(a), len(b), len(m), [b[j][0] - a[i][0] for i, j, _ in m], [b[j][1] - a[i][1] for i, j, _ in m], [x for _, _, x in m])]
 
-    return both.groupBy(*TRACK, "event_type").applyInArrow(run, schema)
+    return per_group(both, (*TRACK, "event_type"), ("side", "event_index"), ("side", "start_time_ns", "end_time_ns"), kernel, schema)
 
 
 def preservation(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, motion
-from ..operators import campaign, codecs, events, feasibility, layout, metrics, replay, sequence, spatial, split, statistics, tape, validate
+from ..operators import campaign, codecs, events, feasibility, graph, layout, metrics, replay, sequence, spatial, split, statistics, tape, validate
 from ..operators.sequence import TRACK
 from ..sources import bindings
 from .oracle import PI, sql, stats
@@ -293,7 +293,7 @@ def event_summary(spark, d):
 def _both_events(spark, d):
     """Events of the source, and of its replay under stride-5 keyframes."""
     s = bindings.samples(spark, d)
-    r = metrics.replayed_samples(s, _segments(spark, d))
+    r = graph.written(spark, metrics.replayed_samples(s, _segments(spark, d)))  # read by every kind of event
     return _events(spark, d), events.events(r, sequence.runs(r), CONFIG)
 
 
