@@ -66,7 +66,7 @@ def family(rng, size, words, edits):
 def test_odd_texts(spark):
     rng = random.Random(3)
     texts = [None, "", " \n", "one", "ONE", "one two three", "One  two\tthree", "a b c d", "a b c d e", "b c d e"] + family(rng, 30, 120, 4) + ["y " * 5000, "Y " * 6000]
-    rows = [(i, t, 1.5) for i, t in enumerate(texts)] + [(None, texts[12], 0.0), (None, None, 0.0), (12, texts[12], 0.0)]
+    rows = [(i, t, 1.5) for i, t in enumerate(texts)] + [(None, texts[12], 0.0), (None, None, 0.0), (12, texts[12], 0.0), (3, texts[20], 0.0), (3, "quite another text of its own", 0.0)]
     check(spark.createDataFrame(rows, "doc_id long, text string, component_id double"))
 
 

@@ -16,8 +16,8 @@ Within leaves signatures rule out pairs far below the threshold (estimate under
 off) and the rest are confirmed on the full sets.  Confirmed links become components without collecting anything.
 
 Cases: null or blank text: no shingles, a component of its own.  A text of fewer words than a shingle: the whole
-sequence is its one shingle.  Null doc_id: in no component (component_id null), kept.  Repeated rows: one result each.
-Empty table: empty result.  Columns of the input other than doc_id and text are not looked at.
+sequence is its one shingle.  Null doc_id: in no component (component_id null), kept.  Repeated rows, and rows of one doc_id with
+several texts: one result each, by their own text.  Empty table: empty result.  Columns of the input other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, U, drop, fresh, grams, mix, slices, table, texts, tune, words
 from .components import connected_components
-from .exchange import groups_for
+from .exchange import dealt, groups_for
 
 SHINGLE = 4
 TREES, DEPTH, LEAF = 12, 4, 48
@@ -109,11 +109,11 @@ def _blocks(spark: SparkSession, large: DataFrame) -> DataFrame:
     """Large leaves cut into blocks of about BLOCK classes, each with its leaf's PIVOTS smallest ids."""
     sizes = large.groupBy("leaf").agg(F.count("*").alias("size"))
     joined = large.join(sizes, "leaf").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    dealt = joined.select("leaf", "blocks", "id", F.pmod(F.xxhash64("leaf", "id"), "blocks").alias("block"))
+    blocks = joined.select("leaf", "blocks", "id", F.pmod(F.xxhash64("leaf", "id"), "blocks").alias("block"))
     # the smallest ids of a leaf, from the smallest of each of its blocks: no leaf is sorted in one task
-    tops = dealt.groupBy("leaf", "blocks", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min("id").alias("id"))
+    tops = blocks.groupBy("leaf", "blocks", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min("id").alias("id"))
     pivots = tops.select("leaf", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return dealt.select("leaf", "id", "block").unionByName(pivots).distinct().select(F.xxhash64("leaf", "block").alias("leaf"), "id")
+    return blocks.select("leaf", "id", "block").unionByName(pivots).distinct().select(F.xxhash64("leaf", "block").alias("leaf"), "id")
 
 
 def _candidates(members: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _candidates(members: DataFrame, classes: DataFrame, buckets: int) -> DataFra
         team = np.repeat(team, size)[flag]
         return pa.table({"team": pa.array(team.view(np.int64)), "id": pa.array(ids[flag])})
 
-    found = rows.groupBy("bucket").applyInArrow(likely, "team long, id long")
+    found = dealt(rows, "bucket", buckets).groupBy("bucket").applyInArrow(likely, "team long, id long")
     return found.distinct()
 
 
@@ -188,7 +188,7 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, teams: DataFrame, k: int) -> DataFrame:
     """Edges (a, b) among the members of each team, confirmed on full sets."""
-    wanted = teams.select("id").distinct().join(classes.select("id", "f1", "n"), "id")
+    wanted = teams.select("id").distinct().join(classes.select("id", "doc_id"), "id")
     total = teams.join(classes.select("id", "n"), "id").agg(F.sum("n") * 8).first()[0] or 0
     buckets = groups_for(total, COMPARE_BYTES)
 
@@ -196,10 +196,10 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, teams: Data
         for batch in batches:
             data, offsets = texts(batch.column(1))
             sets = [s for a, b in slices(offsets) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
-    sets = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(cut, "id long, f1 long, shingles binary")
-    sets = sets.join(wanted.select("id", "f1"), ["id", "f1"], "left_semi")
+    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(cut, "id long, shingles binary")
+    sets = sets.join(wanted.select("id"), "id", "left_semi")
     rows = teams.join(sets.select("id", "shingles"), "id").withColumn("bucket", F.pmod("team", F.lit(buckets)))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -215,7 +215,7 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, teams: Data
                 a_out.append(a), b_out.append(b)
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return dealt(rows, "bucket", buckets).groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def _rest(large: DataFrame, parts: DataFrame) -> DataFrame:
@@ -238,8 +238,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = table(spark, sketches(docs, shingle), "sketches")
     some = drawn.where("n > 0 and doc_id is not null")
-    firsts = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
-    classes = table(spark, some.join(firsts.withColumnRenamed("id", "least"), ["f1", "f2", "n"]).where("doc_id = least").groupBy(F.col("doc_id").alias("id"), "f1", "f2", "n").agg(F.first("sig").alias("sig")), "classes")
+    # a class is named by its fingerprint, so rows that share a doc_id but not a text stay apart
+    classes = table(spark, some.groupBy(F.col("f1").alias("id"), "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
     made = [classes]
     small, large = _leaves(spark, classes, made)
     buckets = groups_for(classes.count(), 4000)
@@ -254,9 +254,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         if not more.isEmpty():
             edges = table(spark, edges.unionByName(_links(spark, docs, classes, more, shingle)), "links")
             parts = connected_components(spark, edges)
-    for t in made:  # the result needs the sketches and the components only
+    members_of = table(spark, classes.join(parts, "id", "left").select("id", "f2", "n", "doc_id", F.coalesce("component", "id").alias("component")), "members")
+    for t in made:  # the result needs the sketches and the members only
         drop(spark, t)
-    named = firsts.join(parts, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
+    least = members_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = members_of.join(least, "component").select(F.col("id").alias("f1"), "f2", "n", "component_id")
     out = drawn.select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
