@@ -80,6 +80,11 @@ def groups_for(total_bytes: int, each: int) -> int:
     return max(1, -(-int(total_bytes) // each))
 
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df dealt out by key over n partitions, as many as there are groups or chunks: what a task reads doesn't grow with the input."""
+    return df.repartition(max(1, n), key)
+
+
 def rows(schema: str | T.StructType, *columns) -> pa.RecordBatch:
     """A batch of the columns in the order of a DDL schema of longs and binaries."""
     kinds = {"long": pa.int64(), "binary": pa.binary()}
