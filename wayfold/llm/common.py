@@ -5,7 +5,6 @@ All kernels take whole texts as UTF-8 bytes.  A null text is an empty text.
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -127,34 +126,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def table_of(p):
-        out = np.full(n + 1, p, U)
-        out[0] = 1
-        return np.cumprod(out, dtype=U)
+#: The largest tables of powers made so far: one pair a worker.
+_tables: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
-    return table_of(_P), table_of(_P_INV)
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, for at least n places."""
+    if len(_tables[0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
+        for k, p in enumerate((_P, _P_INV)):
+            out = np.full(size + 1, p, U)
+            out[0] = 1
+            _tables[k] = np.cumprod(out, dtype=U)
+    return _tables
 
 
 def inverse_powers(n: int) -> np.ndarray:
     """Inverse powers of the hash's base for at least n places."""
-    return _powers(1 << max(16, int(n).bit_length()))[1]
+    return _powers(n)[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums of a polynomial over the bytes; `span_hash` cuts any span's hash out of them."""
-    size = 1 << max(16, int(len(data)).bit_length())
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * _powers(size)[0][: len(data)], out=sums[1:])
+    np.cumsum((data.astype(U) + U(1)) * _powers(len(data))[0][: len(data)], out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    size = 1 << max(16, int(len(sums) - 1).bit_length())
-    h = (sums[ends] - sums[starts]) * _powers(size)[1][starts]
+    h = (sums[ends] - sums[starts]) * _powers(len(sums) - 1)[1][starts]
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U, inverse_powers, prefix_hash, span_hash, table, texts
-from .exchange import REPLY, SENT, chunk_table, cut_by, groups_for, open_chunk, pack, rows, small, unpack
+from .exchange import REPLY, SENT, chunk_table, cut_by, dealt, groups_for, open_chunk, pack, rows, small, unpack
 
 LENGTH = 100
 GRAM = 32
 #: Bytes of text for which there is one hash group, and that one kernel call works on.
 GROUP_BYTES = 4 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Bits for a place in one kernel call's bytes (fewer than twice PIECE_BYTES).
 PLACE_BITS = 21
 
@@ -188,7 +188,13 @@ def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarr
 
     Equal strings meet by hash; one of each is sorted by its bytes.
     """
-    h = span_hash(prefix_hash(data), at, at + depth)
+    h = np.empty(len(at), U)
+    a = 0
+    while a < len(at):  # `at` rises; a stretch at a time keeps the tables of powers small
+        b = int(np.searchsorted(at, at[a] + PIECE_BYTES))
+        own = at[a:b] - at[a]
+        h[a:b] = span_hash(prefix_hash(data[at[a] : at[b - 1] + depth]), own, own + depth)
+        a = b
     order = np.argsort(h, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = h[order][1:] != h[order][:-1]
@@ -376,15 +382,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: tuple[str, str, str, st
             columns += [pa.array(np.diff(c.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string())]
         return pa.table(columns, names)
 
-    dealt = chunks.mapInArrow(send, SENT)
-    settled = dealt.groupBy("g").applyInArrow(settle, REPLY)
+    settled = dealt(chunks.mapInArrow(send, SENT), "g", groups).groupBy("g").applyInArrow(settle, REPLY)
 
 
     settled = table(spark, settled, "repeats-settled", "none")
-    left = chunks.select("chunk", "payload")
-    bytes_sent = left.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(send_bytes, SENT)
-    resolved = bytes_sent.groupBy("g").applyInArrow(lambda t: resolve(t, length), REPLY)
-    answers = settled.unionByName(resolved)
+    n_chunks = chunks.count()
+    left = dealt(chunks.select("chunk", "payload"), "chunk", n_chunks)
+    bytes_sent = left.groupBy("chunk").cogroup(dealt(settled, "chunk", n_chunks).groupBy("chunk")).applyInArrow(send_bytes, SENT)
+    resolved = dealt(bytes_sent, "g", groups).groupBy("g").applyInArrow(lambda t: resolve(t, length), REPLY)
+    answers = dealt(settled.unionByName(resolved), "chunk", n_chunks)
     return left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
