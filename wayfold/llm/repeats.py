@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U, inverse_powers, prefix_hash, span_hash, table, texts
-from .exchange import REPLY, SENT, chunk_table, cut_by, dealt, groups_for, open_chunk, pack, rows, small, unpack
+from .exchange import REPLY, SENT, chunk_table, cut_by, groups_for, open_chunk, pack, rows, small, unpack
 
 LENGTH = 100
 GRAM = 32
@@ -382,15 +382,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: tuple[str, str, str, st
             columns += [pa.array(np.diff(c.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string())]
         return pa.table(columns, names)
 
-    settled = dealt(chunks.mapInArrow(send, SENT), "g", groups).groupBy("g").applyInArrow(settle, REPLY)
+    settled = chunks.mapInArrow(send, SENT).groupBy("g").applyInArrow(settle, REPLY)
 
 
     settled = table(spark, settled, "repeats-settled", "none")
-    n_chunks = chunks.count()
-    left = dealt(chunks.select("chunk", "payload"), "chunk", n_chunks)
-    bytes_sent = left.groupBy("chunk").cogroup(dealt(settled, "chunk", n_chunks).groupBy("chunk")).applyInArrow(send_bytes, SENT)
-    resolved = dealt(bytes_sent, "g", groups).groupBy("g").applyInArrow(lambda t: resolve(t, length), REPLY)
-    answers = dealt(settled.unionByName(resolved), "chunk", n_chunks)
+    left = chunks.select("chunk", "payload")
+    bytes_sent = left.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(send_bytes, SENT)
+    resolved = bytes_sent.groupBy("g").applyInArrow(lambda t: resolve(t, length), REPLY)
+    answers = settled.unionByName(resolved)
     return left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
