@@ -417,8 +417,8 @@ def tiles(spark, d):
 
 
 def _busy(spark, d):
-    """Tiles that own at least three samples of the hundred smallest trajectories' starts."""
-    return spatial.tile_of(_valid(spark, d).where("run_index = 0 and sample_index < 3"), spatial.Grid(4.0, 1.0))
+    """All valid samples with the tiles that own them."""
+    return spatial.tile_of(_valid(spark, d), spatial.Grid(4.0, 1.0))
 
 
 @query(
