@@ -1,8 +1,15 @@
 """Queries over whole tables, against brute force and against SQL without the cuts that the registered SQL has."""
 
+from itertools import product
+from math import erfc
+
+import pytest
+
+from wayfold.operators import statistics
 from wayfold.plans import registry
 
 from .conftest import SF
+from .test_oracle import duck, plain  # noqa: F401
 
 
 def smallest(nodes, linked):
@@ -25,3 +32,40 @@ def test_leakage_groups_of_all_samples(spark):
     split = {(r.grid_x, r.grid_y): (r.group_x, r.group_y, r.split) for r in registry.layout_split(spark, SF).collect()}
     assert {t: v[:2] for t, v in split.items()} == want
     assert len(set(split.values())) == len(set(want.values()))  # one split a group
+
+
+def without(name, *cuts):
+    """The registered SQL of a query with each (text, other text) replaced."""
+    out = registry.ORACLE[name]
+    for old, new in cuts:
+        assert old in out
+        out = out.replace(old, new)
+    return out
+
+
+def same(df, duck, query):  # noqa: F811
+    r = duck.execute(query)
+    have, cols = [d[0] for d in r.description], sorted(df.columns)
+    assert sorted(have) == cols
+    want = sorted([plain(row[have.index(c)]) for c in cols] for row in r.fetchall())
+    assert sorted([plain(row[c]) for c in cols] for row in df.collect()) == want
+
+
+def test_holm_over_all_orders(spark, duck):  # noqa: F811
+    same(registry.holm_adjusted(spark, SF), duck, without("holm_adjusted", (" WHERE o_orderkey <= 400", "")))
+
+
+def test_sign_flip_over_all_units(spark, duck):  # noqa: F811
+    same(registry.exact_sign_flip(spark, SF), duck, without("exact_sign_flip", (" WHERE unit <= 8", "")))
+
+
+def test_sign_flip_of_larger_pairs(spark):
+    d = {"few": [1.0, -2.0, 3.5], "some": [(-1.0) ** (i % 3) * (i + 1) for i in range(12)], "many": [(-1.0) ** (i % 2) * (i + 1) for i in range(40)]}
+    rows = spark.createDataFrame([(a, "z", i, x) for a, v in d.items() for i, x in enumerate(v)], "method_a string, method_b string, unit long, difference double")
+    got = {r.method_a: (r.flips, r.p_value) for r in statistics.sign_flip(rows, 1000, 17).collect()}
+    for a in ("few", "some"):
+        extreme = sum(abs(sum(s * x for s, x in zip(signs, d[a]))) >= abs(sum(d[a])) for signs in product((-1, 1), repeat=len(d[a])))
+        assert got[a] == (2 ** len(d[a]), pytest.approx(extreme / 2 ** len(d[a])))
+    sd = sum(x * x for x in d["many"]) ** 0.5
+    normal = erfc(abs(sum(d["many"])) / sd / 2**0.5)
+    assert got["many"][0] == 1000 and abs(got["many"][1] - normal) < 0.08

@@ -578,7 +578,7 @@ def rank_biserial(spark, d):
 
 @query("SELECT family, o_orderkey, round(max(st) OVER (PARTITION BY family ORDER BY p_value, o_orderkey ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p_value, o_orderkey) + 1) * p_value) AS st FROM (SELECT o_orderpriority AS family, o_orderkey, (o_orderkey * 7919 % 1000) / 1e6 AS p_value FROM orders WHERE o_orderkey <= 400))")
 def holm_adjusted(spark, d):
-    p = read(spark, d, "orders").where("o_orderkey <= 400").select(F.col("o_orderpriority").alias("family"), "o_orderkey", ((F.col("o_orderkey") * 7919 % 1000) / F.lit(1e6)).alias("p_value"))
+    p = read(spark, d, "orders").select(F.col("o_orderpriority").alias("family"), "o_orderkey", ((F.col("o_orderkey") * 7919 % 1000) / F.lit(1e6)).alias("p_value"))
     return rounded(statistics.holm(p, ("family",), "o_orderkey").select("family", "o_orderkey", "adjusted"), 9)
 
 
@@ -589,7 +589,8 @@ def bootstrap_and_sign_flip(spark, d):
 
 @query(sql("""SELECT f.method_a, f.method_b, count(*) AS flips, CAST(count(*) FILTER (abs(fs) >= seen) AS DOUBLE) / count(*) AS p_value FROM (SELECT method_a, method_b, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN q ELSE -q END) AS fs FROM (SELECT *, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM small) GROUP BY ALL) f JOIN (SELECT method_a, method_b, abs(sum(q)) AS seen FROM small GROUP BY ALL) s ON s.method_a = f.method_a AND s.method_b = f.method_b GROUP BY ALL""", "diffs2", recursive="small AS (SELECT *, CAST(row_number() OVER (PARTITION BY method_a, method_b ORDER BY unit) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY method_a, method_b) AS n, CAST(round(difference * 1e6) AS BIGINT) AS q FROM diffs2 WHERE unit <= 8)"))
 def exact_sign_flip(spark, d):
-    return statistics.exact_sign_flip(_diffs(spark, d).where("unit <= 8"))
+    """Over all units: exact for pairs of few units, sampled flips for larger ones."""
+    return statistics.sign_flip(_diffs(spark, d), 1000, 17)
 
 
 _BUDGET = "SELECT p_brand AS family, p_name AS configuration, p_retailprice AS budget, target, CASE WHEN p_retailprice = target THEN 'equal' WHEN p_retailprice <= target THEN 'under' ELSE 'over' END AS relation, round(p_retailprice - target, 6) AS mismatch FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, target ORDER BY (p_retailprice <= target) DESC, CASE WHEN p_retailprice <= target THEN -p_retailprice ELSE p_retailprice END, p_name) AS r FROM part, (SELECT unnest([500.0::DOUBLE, 1000.0, 1500.0, 5000.0]) AS target)) WHERE r = 1"
