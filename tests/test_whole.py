@@ -1,7 +1,7 @@
 """Queries over whole tables, against brute force and against SQL without the cuts that the registered SQL has."""
 
-from itertools import product
-from math import erfc
+from itertools import combinations, product
+from math import dist, erfc
 
 import pytest
 
@@ -69,3 +69,35 @@ def test_sign_flip_of_larger_pairs(spark):
     sd = sum(x * x for x in d["many"]) ** 0.5
     normal = erfc(abs(sum(d["many"])) / sd / 2**0.5)
     assert got["many"][0] == 1000 and abs(got["many"][1] - normal) < 0.08
+
+
+def test_cells_of_all_runs(spark, duck):  # noqa: F811
+    same(registry.shared_cells(spark, SF), duck, without("shared_cells", (" WHERE run_index = 0", "")))
+
+
+def test_ends_of_all_runs(spark, duck):  # noqa: F811
+    ends = ("SELECT scenario_id, track, max((floor", "SELECT scenario_id, track, run_index, max((floor")
+    same(registry.shared_ends(spark, SF), duck, without("shared_ends", (" WHERE run_index = 0", ""), ("trajectory_id AS track, ", "trajectory_id AS track, run_index, "), ends))
+
+
+def test_crossings_of_all_runs(spark, duck):  # noqa: F811
+    same(registry.crossings(spark, SF), duck, without("crossings", (" WHERE run_index = 0", ""), ("trajectory_id AS track", "trajectory_id || '#' || run_index AS track")))
+
+
+def test_groups_of_all_runs(spark):
+    c, paths = registry.FEASIBILITY, {}
+    for r in registry.layout.resample(registry._valid(spark, SF), 8).orderBy("point").collect():
+        paths.setdefault((r.scenario_id, r.trajectory_id, r.run_index), []).append((r.x_m, r.y_m))
+
+    def alike(p, q):
+        d = [dist(a, b) for a, b in zip(p, q)]
+        return d[0] <= c.start_m and d[-1] <= c.end_m and sum(d) / 8 <= c.mean_m and max(d) <= c.maximum_m
+
+    links = {k[:2]: set() for k in paths}
+    for (a, p), (b, q) in combinations(paths.items(), 2):
+        if a[0] == b[0] and a[1] != b[1] and (alike(p, q) or alike(p, q[::-1])):
+            links[a[:2]].add(b[:2])
+            links[b[:2]].add(a[:2])
+    groups = set(smallest(links, lambda n: links[n]).values())
+    want = {s: (sum(g[0] == s for g in groups), sum(k[0] == s for k in paths)) for s, _ in links}
+    assert {r.scenario_id: (r.support_groups, r.tracks) for r in registry.support_groups(spark, SF).collect()} == want

@@ -1,6 +1,8 @@
 """What repeated paths say about a layout: shared cells, starts and ends, crossings, support groups; and agreement with lanes.
 
-paths: scenario_id, track, path (array of x_m, y_m and optionally z_m, in order).  All pairs are pairs of one scenario.
+paths: scenario_id, track, path (array of x_m, y_m and optionally z_m, in order), and run_index if a track has several
+paths.  All pairs are pairs of one scenario.  Cells, ends and groups count tracks, whichever of their paths is there;
+crossings are those of any two paths.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def shared_ends(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig(
 
 
 def agreeing_pairs(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig()) -> DataFrame:
-    """Pairs of paths of equal point counts that run alike, or else alike once one is reversed: scenario_id, a, b, relation."""
+    """Pairs of paths of different tracks, with equal point counts, that run alike, or else alike once one is reversed: scenario_id, a, b (tracks), relation."""
     a, b = (paths.select("scenario_id", F.col("track").alias(n), F.col("path").alias(f"{n}_path")) for n in ("a", "b"))
     j = a.join(b, "scenario_id").where("a < b and size(a_path) = size(b_path)")
 
@@ -63,11 +65,16 @@ def agreeing_pairs(paths: DataFrame, config: FeasibilityConfig = FeasibilityConf
         mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)
         return (F.element_at(d, 1) <= config.start_m) & (F.element_at(d, -1) <= config.end_m) & (mean <= config.mean_m) & (F.array_max(d) <= config.maximum_m)
 
+    def ends(first: int, last: int):
+        d = lambda i, k: F.sqrt(sum((F.element_at("a_path", i)[x] - F.element_at("b_path", k)[x]) * (F.element_at("a_path", i)[x] - F.element_at("b_path", k)[x]) for x in ("x_m", "y_m")))
+        return (d(1, first) <= config.start_m) & (d(-1, last) <= config.end_m)
+
+    j = j.where(ends(1, -1) | ends(-1, 1))  # cheap, and most pairs fail it
     return j.select("scenario_id", "a", "b", F.when(alike(F.col("b_path")), "directional").when(alike(F.reverse("b_path")), "opposing").alias("relation")).where("relation is not null")
 
 
 def support_groups(spark: SparkSession, paths: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per scenario: groups of tracks linked by agreement, and groups per track."""
+    """Per scenario: groups of tracks linked by agreement of any of their paths, paths (tracks), and groups per path."""
     node = lambda c: F.xxhash64("scenario_id", c)
     parts = connected_components(spark, pairs.select(node("a").alias("a"), node("b").alias("b")))
     t = paths.select("scenario_id", "track", node("track").alias("id")).join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
@@ -76,16 +83,17 @@ def support_groups(spark: SparkSession, paths: DataFrame, pairs: DataFrame) -> D
 
 
 def _pieces(paths: DataFrame) -> DataFrame:
-    p = paths.select("scenario_id", "track", "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "p"))
+    run = F.col("run_index") if "run_index" in paths.columns else F.lit(0)
+    p = paths.select("scenario_id", "track", run.alias("run"), "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "p"))
     q = p.withColumn("q", F.element_at("path", F.col("i") + 2))
     z = lambda c: F.col(f"{c}.z_m") if "z_m" in paths.schema["path"].dataType.elementType.fieldNames() else F.lit(None).cast("double")
     first, last = F.element_at("path", 1), F.element_at("path", -1)
-    return q.select("scenario_id", "track", "i", *[F.col(f"{c}.{a}_m").alias(f"{a}{k}") for k, c in enumerate("pq") for a in "xy"], z("p").alias("z0"), z("q").alias("z1"), first["x_m"].alias("fx"), first["y_m"].alias("fy"), last["x_m"].alias("lx"), last["y_m"].alias("ly"))
+    return q.select("scenario_id", "track", "run", "i", *[F.col(f"{c}.{a}_m").alias(f"{a}{k}") for k, c in enumerate("pq") for a in "xy"], z("p").alias("z0"), z("q").alias("z1"), first["x_m"].alias("fx"), first["y_m"].alias("fy"), last["x_m"].alias("lx"), last["y_m"].alias("ly"))
 
 
 def turns_at(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig()) -> DataFrame:
     """Vertices where a path turns enough: scenario_id, track, x, y."""
-    w = Window.partitionBy("scenario_id", "track").orderBy("i")
+    w = Window.partitionBy("scenario_id", "track", "run").orderBy("i")
     p = _pieces(paths).withColumn("h", F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
     d = F.col("h") - F.lag("h").over(w)
     return p.withColumn("turn", F.abs(F.atan2(F.sin(d), F.cos(d)))).where(F.col("turn") >= config.turn_rad).select("scenario_id", "track", F.col("x0").alias("x"), F.col("y0").alias("y"))
@@ -95,15 +103,17 @@ def crossings(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig())
     """Where two paths of a scenario cross away from their ends, by whole metre (half to even), with the strongest reading.
 
     elevation_separated, else observed_transition_supported (some path turns near), else geometric_only_ambiguous.
-    Pieces meet by the cells their boxes touch, so far pieces aren't compared.
+    Pieces meet by the cells their boxes touch, so far pieces aren't compared; two pieces count in the first cell that both
+    touch.
     """
     size, c = config.cell_m, F.col
     p = _pieces(paths)
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
-    p = p.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    cols = ["track", "i", "x0", "y0", "x1", "y1", "z0", "z1", "fx", "fy", "lx", "ly"]
+    low = lambda a, b: F.floor(F.least(a, b) / size)
+    p = p.withColumns({"lx0": low("x0", "x1"), "ly0": low("y0", "y1")}).withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    cols = ["track", "run", "lx0", "ly0", "x0", "y0", "x1", "y1", "z0", "z1", "fx", "fy", "lx", "ly"]
     side = lambda n: p.select("scenario_id", "cx", "cy", *[c(k).alias(f"{n}_{k}") for k in cols])
-    j = side("a").join(side("b"), ["scenario_id", "cx", "cy"]).where("a_track < b_track").drop("cx", "cy").distinct()
+    j = side("a").join(side("b"), ["scenario_id", "cx", "cy"]).where("cx = greatest(a_lx0, b_lx0) and cy = greatest(a_ly0, b_ly0) and (a_track < b_track or a_track = b_track and a_run < b_run)")
     ax, ay, bx, by = c("a_x1") - c("a_x0"), c("a_y1") - c("a_y0"), c("b_x1") - c("b_x0"), c("b_y1") - c("b_y0")
     det = ax * by - ay * bx
     rx, ry = c("b_x0") - c("a_x0"), c("b_y0") - c("a_y0")
@@ -112,12 +122,14 @@ def crossings(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig())
     far = lambda n, e: F.hypot(c("x") - c(f"{n}_{e}x"), c("y") - c(f"{n}_{e}y"))
     j = j.where(F.least(*[far(n, e) for n in "ab" for e in "fl"]) > config.end_exclusion_m)
     za, zb = c("a_z0") + c("u") * (c("a_z1") - c("a_z0")), c("b_z0") + c("v") * (c("b_z1") - c("b_z0"))
-    j = j.select("scenario_id", "x", "y", F.coalesce(F.abs(za - zb) >= config.grade_m, F.lit(False)).alias("apart")).distinct()
+    j = j.select("scenario_id", "x", "y", F.coalesce(F.abs(za - zb) >= config.grade_m, F.lit(False)).alias("apart"))
     near = lambda a: F.floor(c(a) / config.turn_radius_m)
     t = turns_at(paths, config).select("scenario_id", c("x").alias("tx"), c("y").alias("ty"))
     t = t.withColumn("gx", F.explode(F.array(*[near("tx") + k for k in (-1, 0, 1)]))).withColumn("gy", F.explode(F.array(*[near("ty") + k for k in (-1, 0, 1)])))
-    hit = j.withColumns({"gx": near("x"), "gy": near("y")}).join(t, ["scenario_id", "gx", "gy"]).where(F.hypot(c("x") - c("tx"), c("y") - c("ty")) <= config.turn_radius_m).select("scenario_id", "x", "y").distinct().withColumn("turned", F.lit(True))
-    r = j.join(hit, ["scenario_id", "x", "y"], "left").select("scenario_id", F.bround("x").cast("long").alias("x"), F.bround("y").cast("long").alias("y"), F.when(c("apart"), 2).when(c("turned"), 1).otherwise(0).alias("rank"))
+    t = t.groupBy("scenario_id", "gx", "gy").agg(F.collect_set(F.struct("tx", "ty")).alias("turns"))
+    turned = F.exists(F.coalesce("turns", F.array().cast("array<struct<tx:double,ty:double>>")), lambda k: F.hypot(c("x") - k["tx"], c("y") - k["ty"]) <= config.turn_radius_m)
+    j = j.withColumns({"gx": near("x"), "gy": near("y")}).join(t, ["scenario_id", "gx", "gy"], "left").withColumn("turned", turned)  # here, as below the rounded x and y would hide these
+    r = j.select("scenario_id", F.bround("x").cast("long").alias("x"), F.bround("y").cast("long").alias("y"), F.when(c("apart"), 2).when(c("turned"), 1).otherwise(0).alias("rank"))
     names = F.array(F.lit("geometric_only_ambiguous"), F.lit("observed_transition_supported"), F.lit("elevation_separated"))
     return r.groupBy("scenario_id", "x", "y").agg(F.element_at(names, F.max("rank") + 1).alias("reading"))
 

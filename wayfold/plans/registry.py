@@ -647,9 +647,9 @@ FEASIBILITY = feasibility.FeasibilityConfig(cell_m=20.0, end_cell_m=25.0, end_ex
 
 
 def _paths(spark, d):
-    """First runs that move, as paths of eight points."""
-    p = layout.resample(_valid(spark, d).where("run_index = 0"), 8).groupBy(*layout.RUN).agg(F.array_sort(F.collect_list(F.struct("point", "x_m", "y_m"))).alias("path"))
-    return p.select("scenario_id", F.col("trajectory_id").alias("track"), "path")
+    """All runs that move, as paths of eight points."""
+    p = layout.resample(_valid(spark, d), 8).groupBy(*layout.RUN).agg(F.array_sort(F.collect_list(F.struct("point", "x_m", "y_m"))).alias("path"))
+    return p.select("scenario_id", F.col("trajectory_id").alias("track"), "run_index", "path")
 
 
 _PTS = "pts AS (SELECT scenario_id, trajectory_id AS track, point, x_m, y_m FROM (RESAMPLE) WHERE run_index = 0)".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
