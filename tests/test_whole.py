@@ -101,3 +101,7 @@ def test_groups_of_all_runs(spark):
     groups = set(smallest(links, lambda n: links[n]).values())
     want = {s: (sum(g[0] == s for g in groups), sum(k[0] == s for k in paths)) for s, _ in links}
     assert {r.scenario_id: (r.support_groups, r.tracks) for r in registry.support_groups(spark, SF).collect()} == want
+
+
+def test_pairs_of_all_runs(spark, duck):  # noqa: F811
+    same(registry.route_pairs(spark, SF), duck, without("route_pairs", (" WHERE l.length_m >= 400", "")))

@@ -355,7 +355,7 @@ _SAME = ("scenario_id",)
 def _routes(spark, d):
     v = _valid(spark, d)
     path = layout.resample(v, 8).groupBy(*layout.RUN).agg(F.array_sort(F.collect_list(F.struct("point", "x_m", "y_m"))).alias("path"))
-    return path.join(layout.path_lengths(v), list(layout.RUN)).where("length_m >= 400")
+    return path.join(layout.path_lengths(v), list(layout.RUN))
 
 
 _PAIRS = """pts AS (SELECT p.*, l.length_m FROM (RESAMPLE) p JOIN lengths l ON p.trajectory_id = l.trajectory_id AND p.run_index = l.run_index WHERE l.length_m >= 400)""".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
@@ -366,7 +366,7 @@ _PAIRS_SQL = """SELECT a.scenario_id, a.trajectory_id AS a_trajectory_id, a.run_
 
 @query(sql(_PAIRS_SQL, "lengths", recursive=_PAIRS))
 def route_pairs(spark, d):
-    """Compatibility of long runs of different tracks in a scenario."""
+    """Compatibility of all moving runs of different tracks in a scenario."""
     p = layout.pairs(_routes(spark, d), ROUTES, _SAME)
     return rounded(p.drop("start_distance_m", "end_distance_m"), 4)
 
