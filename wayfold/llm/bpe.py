@@ -8,7 +8,10 @@ is the set of live guesses after what all of them agree on, and what they agree
 within a bounded lookahead because a guess lives no longer than the longest token.  A piece that is itself in the
 vocabulary is that token, as in the tiktoken library.
 
-Each match of the split pattern is encoded separately.  Distinct pieces are kept in a bounded cache on each worker.
+Each match of the split pattern is encoded separately.  A transition is stored where a piece first leaves what is known;
+those after it are made by the same construction and stored when another piece comes by.  Distinct pieces,
+transitions and pairs of tokens are kept on each worker in caches bounded by their bytes; a machine that is full keeps
+what it has, and a partition begins with a new one if it was full.
 
 Cases: null text: as empty (0 tokens, both digests of the empty string).  Repeated rows: one result each.  Extra
 columns pass through; a result column replaces an input column of its name.  Empty table: empty result.
@@ -22,6 +25,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +33,16 @@ from pyspark.sql import types as T
 
 from .common import tune
 
-#: Distinct pieces, and transitions of the transducer, that a worker keeps before it starts afresh.
-MAX_PIECES = 400_000
-MAX_TRANSITIONS = 400_000
-#: A rest of a piece up to this length runs outside the determinised machine once it left what is known.
-REST_BYTES = 24
+#: Bytes, by the estimates below, that a worker keeps of distinct pieces (in each of two generations), of transitions
+#: and of pairs of tokens before it starts afresh.
+PIECE_BYTES = 24 << 20
+TRANSITION_BYTES = 40 << 20
+PAIR_BYTES = 24 << 20
+#: What an entry of the caches takes beside its own text, ids or guesses: dictionary slots, tuples, numbers.
+_PIECE, _TRANSITION, _STATE, _GUESS, _PAIR = 220, 240, 240, 110, 160
+#: Bytes after which a run that isn't stored looks for what can be emitted (stored transitions look after each byte), so
+#: the lookahead is that of the longest token and so many bytes.
+EMIT_EVERY = 8
 #: Characters of a text from which pieces are taken from an iterator instead of a list.
 LONG_TEXT = 1 << 20
 
@@ -51,159 +60,153 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self._child: dict[int, int] = {}  # trie of the tokens: node << 8 | byte -> node
-        self._token = [-1]  # token that ends at a node, or -1
-        self._inner = [True]  # a longer token goes on from here
+        self._info = [1]  # of a node: token that ends there + 1 (0: none), doubled, and 1 if a longer token goes on
+        self._halves: dict[int, tuple[int, int]] = {}  # the two tokens whose merge makes one; a byte twice
         for t, i in ranks.items():
+            halves = self.merge(t, i) if len(t) > 1 else [i, i]
+            if len(halves) != 2:
+                continue  # merging never ends in this token
+            self._halves[i] = tuple(halves)
             node = 0
             for byte in t:
-                at = node << 8 | byte
-                self._inner[node] = True
-                node = self._child.setdefault(at, len(self._token))
-                if node == len(self._token):
-                    self._token.append(-1)
-                    self._inner.append(False)
-            self._token[node] = i
-        self._proper: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._split: dict[int, tuple[int, int]] = {}
-        self._reset()
-
-    def _reset(self) -> None:
+                self._info[node] |= 1
+                node = self._child.setdefault(node << 8 | byte, len(self._info))
+                if node == len(self._info):
+                    self._info.append(0)
+            self._info[node] |= i + 1 << 1
+        self._pairs: dict[int, bool] = {}
+        self.reset()
+
+    def reset(self) -> None:
         start = (None, (((), 0),))
         self._ids = {start: 0}
         self._states = [start]
         self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.held = 0
 
     def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
         """Plain merging by rank, of ranks under `below`; used on single tokens, and as the yardstick in tests."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        parts, none = [piece[i : i + 1] for i in range(len(piece))], 1 << 60
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if self.ranks.get(parts[best] + parts[best + 1], below) >= below:
+            ranks = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            if (least := min(ranks)) >= below:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            at = ranks.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _is_proper(self, t: int) -> bool:
-        if (known := self._proper.get(t)) is None:
-            known = self._proper[t] = self.merge(self.bytes_of[t]) == [t]
-        return known
-
-    def _halves(self, t: int) -> tuple[int, int]:
-        """The two tokens whose merge makes t (t twice for a single byte)."""
-        if (known := self._split.get(t)) is None:
-            known = self._split[t] = tuple(self.merge(self.bytes_of[t], t)) if len(self.bytes_of[t]) > 1 else (t, t)
-        return known
-
-    def _compatible(self, a: int | None, b: int) -> bool:
+    def _compatible(self, a: int, b: int) -> bool:
         """True if a, b put together are encoded as a, b.
 
         Merges across the border come from the right edge of a's merge tree and the left edge of b's.  Both trees are
         taken apart from the last merge back; a pair at the border that would have merged before the edge did is a
         conflict.
         """
-        if a is None:
-            return True
-        if (known := self._pairs.get((a, b))) is not None:
-            return known
-        pair, limit, known = (a, b), 1 << 60, True
+        pair, limit, known = a << 20 | b, 1 << 60, True
+        rank, spelled, halves = self.ranks.get, self.bytes_of, self._halves
+        inner, outer = halves[a][1], halves[b][0]
         while True:
-            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            if joined is not None and joined < limit:
+            if rank(spelled[a] + spelled[b], limit) < limit:
                 known = False
                 break
-            if a > b and self._halves(a)[1] != a or self._halves(b)[0] == b:
-                if self._halves(a)[1] == a:
+            if a > b and inner != a or outer == b:
+                if inner == a:
                     break
-                limit, a = a, self._halves(a)[1]
+                limit, a = a, inner
+                inner = halves[a][1]
             else:
-                limit, b = b + 1, self._halves(b)[0]
-        if len(self._pairs) > MAX_TRANSITIONS:
+                limit, b = b + 1, outer
+                outer = halves[b][0]
+        if len(self._pairs) * _PAIR > PAIR_BYTES:
             self._pairs.clear()
         self._pairs[pair] = known
         return known
 
-    def _after(self, before: int | None, live: tuple, byte: int) -> list:
-        """The guesses that live on after a byte.
+    def _run(self, before: int | None, live: tuple, piece: bytes, out: list[int], every: int) -> tuple[int | None, tuple]:
+        """The transition function over some bytes: appends what is emitted to `out`, returns the state after them.
 
-        A guess is (tokens after what is agreed, trie node of the token under way; 0: none).
+        A state is (last token, guesses); a guess is (tokens after what is agreed, trie node of the token under way;
+        0: none).  What all guesses agree on is emitted after every `every` bytes; guesses are tuples in order, so what
+        the least and the greatest share all share.
         """
-        child, pairs = self._child, self._pairs
-        then = []
-        for done, node in live:
-            if (node := child.get(node << 8 | byte)) is None:
-                continue
-            if self._inner[node]:
-                then.append((done, node))
-            if (t := self._token[node]) >= 0:
-                if not self._is_proper(t):
-                    self._token[node] = -1
+        child, pairs, infos = self._child, self._pairs, self._info
+        for count, byte in enumerate(piece, 1):
+            then = []
+            for done, node in live:
+                if (node := child.get(node << 8 | byte)) is None:
                     continue
-                last = done[-1] if done else before
-                fits = True if last is None else pairs.get((last, t))
-                if self._compatible(last, t) if fits is None else fits:
+                info = infos[node]
+                if info & 1:
+                    then.append((done, node))
+                if info > 1:
+                    t = (info >> 1) - 1
+                    if (last := done[-1] if done else before) is not None:
+                        if (fits := pairs.get(last << 20 | t)) is None:
+                            fits = self._compatible(last, t)
+                        if not fits:
+                            continue
                     then.append(((*done, t), 0))
-        return then
+            live = then
+            if count % every:
+                continue
+            if len(then) == 1:
+                (emitted, node), = then
+                live = [((), node)]
+            else:
+                low, high = min(then)[0], max(then)[0]
+                agreed, most = 0, min(len(low), len(high))
+                while agreed < most and low[agreed] == high[agreed]:
+                    agreed += 1
+                emitted = low[:agreed]
+                if agreed:
+                    live = [(done[agreed:], node) for done, node in then]
+            if emitted:
+                before = emitted[-1]
+                out += emitted
+        return before, tuple(live)
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """One transition of the determinised machine, built when it is first taken."""
-        before, live = self._states[state]
-        then = self._after(before, live, byte)
-        out: tuple[int, ...] = ()
-        if len(then) == 1:
-            (out, node), = then
-            then = [((), node)]
-        else:
-            low, high = min(then)[0], max(then)[0]  # tuples are ordered, so all agree on what these two agree on
-            agreed, most = 0, min(len(low), len(high))
-            while agreed < most and low[agreed] == high[agreed]:
-                agreed += 1
-            if agreed:
-                out = low[:agreed]
-                then = [(done[agreed:], node) for done, node in then]
-        if out:
-            before = out[-1]
-        live = tuple(then)
+        """One transition of the determinised machine, stored when it is first taken."""
+        out: list[int] = []
+        before, live = self._run(*self._states[state], bytes((byte,)), out, 1)
         if all(done for done, _ in live):
-            before = None
+            before = None  # no guess looks back at it
         key = (before, live)
         to = self._ids.get(key)
         if to is None:
             to = self._ids[key] = len(self._states)
             self._states.append(key)
-        self._next[state << 8 | byte] = got = (to, out)
+            self.held += _STATE + _GUESS * len(live)
+        self.held += _TRANSITION
+        self._next[state << 8 | byte] = got = (to, tuple(out))
         return got
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of a piece.
 
-        The machine grows by one transition where a piece first leaves what is known; a short rest after that is run
-        guess by guess, as it would hardly be taken again.
+        The stored machine grows by one transition where a piece first leaves what is known, until it is full.
         """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         out: list[int] = []
-        state, known, last = 0, self._next, len(piece) - 1
+        state, known = 0, self._next
         for i, byte in enumerate(piece):
             got = known.get(state << 8 | byte)
             if got is None:
-                if len(known) >= MAX_TRANSITIONS:  # start afresh, from the state it is in
-                    key = self._states[state]
-                    self._reset()
-                    known = self._next
-                    state = self._ids.setdefault(key, len(self._states))
-                    if state == len(self._states):
-                        self._states.append(key)
-                got = self._step(state, byte)
-                if last - i <= REST_BYTES:
-                    out += got[1]
-                    before, live = self._states[got[0]]
-                    for byte in piece[i + 1 :]:
-                        live = self._after(before, live, byte)
-                    return out + list(next((done for done, node in live if not node), ()))
+                if self.held < TRANSITION_BYTES:
+                    state, emitted = self._step(state, byte)
+                    out += emitted
+                    i += 1
+                _, live = self._run(*self._states[state], piece[i:], out, EMIT_EVERY)
+                break
             state, emitted = got
             out += emitted
-        out += next((done for done, node in self._states[state][1] if not node), ())
+        else:
+            live = self._states[state][1]
+        for done, node in live:
+            if not node:
+                out += done
+                break
         return out
 
 
@@ -217,15 +220,18 @@ class Pieces(dict):
         super().__init__()
         self.machine = machine
         self.older: dict[str, str] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= MAX_PIECES:
-            self.older = dict(self)
-            self.clear()
         ids = self.older.get(piece)
         if ids is None:
             ids = ",".join(map(str, self.machine.encode(piece.encode())))
         if len(piece) < 200:
+            if self.held >= PIECE_BYTES:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self.held += _PIECE + 4 * len(piece) + len(ids)
             self[piece] = ids
         return ids
 
@@ -293,14 +299,15 @@ def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and f.name != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches hold no cycles, and scanning them costs more than all else
-        split, pieces, bytes_of, _ = codec(path, pattern)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, pieces, bytes_of, machine = codec(path, pattern)
+        if machine.held >= TRANSITION_BYTES:
+            machine.reset()
         get = bytes_of.__getitem__
         for batch in batches:
             counts, id_hashes, text_hashes, all_ids = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                n, ids_hash, text_hash, stream, ids = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), []
+                n, ids_hash, text_hash, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
                 for block in id_blocks(text or "", split, pieces):
                     if n:
                         ids_hash.update(b",")
@@ -309,18 +316,27 @@ def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False
                     n += len(each)
                     text_hash.update(stream.feed(b"".join(map(get, each))).encode())
                     if keep_ids:
-                        ids += map(int, each)
+                        all_ids.append(np.array(each).astype(np.int32))
                 text_hash.update(stream.finish().encode())
                 counts.append(n)
                 id_hashes.append(ids_hash.hexdigest())
                 text_hashes.append(text_hash.hexdigest())
-                all_ids.append(ids)
             made = [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
             if keep_ids:
-                made.append(pa.array(all_ids, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *counts]).astype(np.int32)  # a batch of at most BATCH_ROWS texts
+                made.append(pa.ListArray.from_arrays(ends, np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)))
             old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(old + made, [f.name for f in kept] + [f.name for f in new])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, and scanning them costs more than all else
+        try:
+            yield from rows(batches)
+        finally:
+            if on:
+                gc.enable()
+
     tune(df.sparkSession)
     return df.select(*[f"`{f.name}`" for f in kept], "text").mapInArrow(run, T.StructType(kept + new))
 

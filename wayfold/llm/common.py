@@ -5,6 +5,7 @@ All kernels take whole texts as UTF-8 bytes.  A null text is an empty text.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base
 
@@ -126,45 +129,104 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: The largest tables of powers made so far: one pair a worker.
-_tables: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse, for at least n places."""
-    if len(_tables[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        for k, p in enumerate((_P, _P_INV)):
-            out = np.full(size + 1, p, U)
-            out[0] = 1
-            _tables[k] = np.cumprod(out, dtype=U)
-    return _tables
+#: Bytes of a stretch that polynomial hashes work on at once: the tables of powers never grow.
+STRETCH = 1 << 20
+#: Words up to this many bytes are hashed by lanes of eight bytes, longer ones by a library digest.
+LANE_BYTES = 64
+#: Moduli and bases of the polynomial hash: 2^64 and two primes, as patterns that cheat a power of two don't cheat a prime.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 762939453))
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(modulus: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash's base and of its inverse, for the places of a stretch; modulus 0 is 2^64."""
+    if modulus not in _tables:
+        if modulus:
+            base = dict(_PRIMES)[modulus]
+            pair = []
+            for b in (base, pow(base, -1, modulus)):
+                out = np.ones(1, U)
+                while len(out) <= STRETCH:
+                    out = np.concatenate((out, out * U(pow(b, len(out), modulus)) % U(modulus)))
+                pair.append(out[: STRETCH + 1])
+            _tables[modulus] = tuple(pair)
+        else:
+            pair = []
+            for b in (_P, _P_INV):
+                out = np.full(STRETCH + 1, b, U)
+                out[0] = 1
+                pair.append(np.cumprod(out, dtype=U))
+            _tables[0] = tuple(pair)
+    return _tables[modulus]
 
 
 def inverse_powers(n: int) -> np.ndarray:
-    """Inverse powers of the hash's base for at least n places."""
-    return _powers(n)[1]
+    """Inverse powers of the hash's base for the first n places of a stretch."""
+    return _powers()[1][:n]
+
 
+def prefix_hash(data: np.ndarray, modulus: int = 0) -> np.ndarray:
+    """Running sums of a polynomial over at most STRETCH bytes; `span_hash` cuts any span's hash out of them.
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums of a polynomial over the bytes; `span_hash` cuts any span's hash out of them."""
+    Under a prime the terms stay below 2^39, so that sums over a stretch need no reduction.
+    """
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * _powers(len(data))[0][: len(data)], out=sums[1:])
+    np.cumsum((data.astype(U) + U(1)) * _powers(modulus)[0][: len(data)], out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * _powers(len(sums) - 1)[1][starts]
+    h = (sums[ends] - sums[starts]) * _powers()[1][starts]
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def span_check(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 more bits of data[start:end], by two primes; with `span_hash` a digest of 126 bits."""
+    out = np.zeros(len(starts), U)
+    for modulus, _ in _PRIMES:
+        sums = prefix_hash(data, modulus)
+        m = U(modulus)
+        out = out << U(31) | (sums[ends] - sums[starts]) % m * _powers(modulus)[1][starts] % m
+    return out
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes that begin at each place (zeros after the end)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] by bytes alone: each lane of eight bytes is mixed into what came before."""
+    size = ends - starts
+    h = size.astype(U) * U(0xD6E8FEB86659FD93)
+    eight, at, own, left = lanes(data), starts, None, size
+    for k in range(0, LANE_BYTES, 8):
+        if k:
+            own = np.flatnonzero(size > k)
+            if not len(own):
+                break
+            at, left = starts[own] + k, size[own] - k
+        lane = eight[at] & _MASKS[np.minimum(left, 8)]
+        if own is None:
+            h = mix(h ^ mix(lane))
+        else:
+            h[own] = mix(h[own] ^ mix(lane))
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, hashes of all words, and the row of each."""
     starts, ends = spans(data, offsets, inside)
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return starts, ends, span_hash(prefix_hash(data), starts, ends), rows
+    return starts, ends, word_hashes(data, starts, ends), rows
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
