@@ -88,6 +88,39 @@ def test_dedup_keeps_columns(spark):
     assert near_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_dedup_is_by_row(spark):
+    v, t, u, w = "a b c d e f g h", "one two three four five six", "quite another text of its own", "the last text that is left here"
+    rows = [(1, t, "a"), (3, t, "b"), (3, u, "c"), (5, v, "d"), (5, v, "e"), (6, v, "f"), (7, "", "g"), (7, None, "h"), (7, "  ", "i"), (8, w, "j"), (8, w.upper(), "k"), (None, v, "l"), (None, v, "m")]
+    for parts in (1, 5):
+        kept = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept if r.doc_id and r.doc_id < 7) == [(1, t), (3, u), (5, v)]
+        assert sorted((r.text or "") for r in kept if r.doc_id == 7) == ["", "  "] and len([r for r in kept if r.doc_id == 8]) == 1
+        assert sorted(r.digest for r in kept if r.doc_id is None) == ["l", "m"]
+
+
+def test_words_that_cheat_a_power_of_two(spark):
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    assert len(near_dedup.shingle_sets(__import__("numpy").frombuffer(thue.encode(), "uint8"), __import__("numpy").array([0, 2048]), 4)) == 1
+    check(spark.createDataFrame([(1, thue), (2, other), (3, f"x {thue}"), (4, f"x {other}")], "doc_id long, text string"))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just over 0.8 are all found, among many families."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(203)]
+        copy = list(base)
+        for i in rng.sample(range(10, 200, 10), 5):  # 200 shingles, 20 differ: 180 / 220
+            copy[i] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(300))
+    print(f"links found at a similarity of 0.818: {found} of 300")
+    assert found >= 299
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 164)] + [(7, 3), (3, 3), (9, 7), (9, 7)] + [(500, 600 + i) for i in range(200)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]

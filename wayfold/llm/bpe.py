@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import release, tune
 
 #: Bytes, by the estimates below, that a worker keeps of distinct pieces (in each of two generations), of transitions
 #: and of pairs of tokens before it starts afresh.
@@ -329,6 +329,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False
             yield pa.RecordBatch.from_arrays(old + made, [f.name for f in kept] + [f.name for f in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         on = gc.isenabled()
         gc.disable()  # the caches hold no cycles, and scanning them costs more than all else
         try:

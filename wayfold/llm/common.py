@@ -5,9 +5,11 @@ All kernels take whole texts as UTF-8 bytes.  A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ def table(spark: SparkSession, df: DataFrame, name: str, compression: str = "zst
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.wayfold_path = path
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)  # what a lazy result still reads goes with the application
     return out
 
 
@@ -55,6 +59,28 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, for the workers of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """A function of batches that releases memory at the end of its partition."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that clash with no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -27,4 +27,6 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = new
         if new.where("component <> before").isEmpty():
             drop(spark, both)
-            return new.select("id", "component")
+            out = new.select("id", "component")
+            out.wayfold_path = new.wayfold_path
+            return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U, fresh, grams, slices, texts, tune, words
+from .common import ALNUM, LOWER, U, fresh, grams, released, slices, texts, tune, words
 
 N = 13
 #: Texts of a benchmark up to this size are broadcast (about 700,000 windows).
@@ -135,7 +135,7 @@ def _broadcast_way(docs: DataFrame, bench: DataFrame, n: int, share: int) -> Dat
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, {RESULT}")
+    return docs.mapInArrow(released(run), f"doc_id {id_type}, {RESULT}")
 
 
 def _shuffle_way(docs: DataFrame, bench: DataFrame, n: int, share: int) -> DataFrame:
@@ -258,7 +258,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", n:
             else:
                 yield batch.set_column(at, batch.schema.field(at), pa.array([cut_words(t, h) if x else t for t, h, x in zip(column.to_pylist(), hits, bad)], column.type))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(released(run), docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import table, texts, tune
+from .common import released, table, texts, tune
 
 CHUNK_BYTES = 4 << 20
 
@@ -69,7 +69,7 @@ def chunk_table(df: DataFrame, name: str, size: int = CHUNK_BYTES) -> DataFrame:
             yield out()
 
     tune(df.sparkSession)
-    return table(df.sparkSession, df.mapInArrow(run, "chunk long, n_bytes long, payload binary"), name, "none")
+    return table(df.sparkSession, df.mapInArrow(released(run), "chunk long, n_bytes long, payload binary"), name, "none")
 
 
 def open_chunk(payload: bytes) -> pa.Table:
