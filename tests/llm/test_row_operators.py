@@ -1,6 +1,7 @@
 """Operators that judge one row at a time, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -253,6 +254,44 @@ def test_chat(spark):
     assert {r.conv_id: tuple(r)[1:5] for r in full.collect()} == {c: brute_chat(r) for c, r in want.items()}
 
 
+def test_chat_table_of_parts(spark):
+    parts = [
+        [("text", "see <|image_1|> ", None, None, None, None, None), ("image", None, "img://1", 56, 30, None, None)],
+        None,
+        [("audio", None, "aud://2", None, None, 1.5, None), ("document", None, "doc://3", None, None, None, 2), ("text", None, None, None, None, None, None)],
+    ]
+    frame = spark.createDataFrame([(1, t, r, p, "unused") for (t, r), p in zip([(0, "user"), (1, "as\nsist\\n"), (2, "assistant")], parts)], f"conv_id long, turn int, role string, parts {chat.PARTS}, formatted string")
+    turns = sorted(chat.format_turns(frame).collect(), key=lambda r: r.turn)
+    whole = "".join(r.formatted for r in turns)
+    assert chat.parse_turns(whole) == [("user", "see <|image_1|> <|image_1|>"), ("as\nsist\\n", ""), ("assistant", "<|audio_1|><|document_2|>")]
+    assert [a.kind for r in turns for a in r.attachments] == ["image", "audio", "document"] and [r.attachment_tokens for r in turns] == [4, 0, 38 + 512]
+    for r in turns:
+        for a in r.attachments:
+            assert whole[a.at :].startswith(f"<|{a.kind}_")
+        assert (r.loss_start < r.loss_end) == (r.turn == 2)
+    assert whole[turns[2].loss_start : turns[2].loss_end] == "<|audio_1|><|document_2|>"
+    with pytest.raises(Exception, match="unknown kind"):
+        chat.typed({"kind": "video"})
+
+
+def test_chat_roles_with_line_ends(spark):
+    roles = ["a\nb", "a\\nb", "\\", "<|im_end|>\n", "assistant\n", "\n\n"]
+    frame = spark.createDataFrame([(c, t, r, f"text {t}\n") for c in range(2) for t, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.format_conversations(frame).collect()}
+    assert got == {c: brute_chat([(r, f"text {t}\n") for t, r in enumerate(roles)]) for c in range(2)}
+
+
+def test_beta_quantiles():
+    import numpy as np
+
+    # I_x(a, b) for whole numbers is a binomial tail
+    for a, b, x in [(1, 1, 0.3), (3, 5, 0.5), (20, 2, 0.9), (7, 40, 0.1), (300, 200, 0.6)]:
+        want = sum(math.comb(a + b - 1, k) * x**k * (1 - x) ** (a + b - 1 - k) for k in range(a, a + b))
+        assert abs(url_filter.beta_cdf(np.array([x]), np.array([a]), np.array([b]))[0] - want) < 1e-10
+        q = url_filter.beta_quantile(0.05, np.array([a]), np.array([b]))
+        assert abs(url_filter.beta_cdf(q, np.array([a]), np.array([b]))[0] - 0.05) < 1e-8
+
+
 def test_chat_parts():
     turn = chat.format_turn("assistant", [chat.Text("see <|image_1|> "), chat.Image("img://1", 56, 30), chat.Text(" and "), chat.Audio("aud://2", 1.5), chat.Document("doc://3", 2)])
     assert [a[:2] for a in turn.attachments] == [("image", "img://1"), ("audio", "aud://2"), ("document", "doc://3")]

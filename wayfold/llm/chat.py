@@ -7,14 +7,19 @@ placeholder will expand to.  Turns are framed as
     <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 
 and control strings inside a text are escaped reversibly: every "<", any backslashes, "|" gets one more backslash, so
-no text can hold "<|".  The loss mask covers the content of assistant turns, and nothing between.
+no text can hold "<|"; in a role also backslashes and line ends.  The loss mask covers the content of assistant turns,
+and nothing between.
 
-Conversations are dealt out by conv_id and sorted by turn; one task streams through a conversation's rows and keeps
-only digests, so a conversation of any length needs no memory.
+`format_turns` gives the output itself: each turn's text, its place in the conversation, its loss span, attachments and
+expanded tokens.  `read_back` reads whole conversations from that output alone.  Conversations are dealt out by conv_id
+and sorted by turn; one task streams through a conversation and keeps one turn and digests, so a conversation of any
+length needs no memory.
 
 Cases: null text: empty.  Null role: empty role.  Null conv_id: one conversation of its own.  Rows of the same turn
-are ordered by role, then text; a null turn comes first.  A conversation without an assistant: loss of 0 characters.
-Empty table: no conversations (the query still has its conversation -1).
+are ordered by role, then text; a null turn comes first.  Null parts: no content; a part of an unknown kind is an
+error.  A conversation without an assistant: loss of 0 characters.  Repeated rows: repeated turns.  Empty table: no
+conversations (the query still has its conversation -1).  Columns of the input other than conv_id, turn, role, text
+and parts are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import tune
 
@@ -42,6 +49,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text) if "<" in text else text
 
 
+def escape_role(role: str) -> str:
+    """A role without line ends and control strings."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n")) if role and not role.isalnum() else role
+
+
+def unescape_role(role: str) -> str:
+    return regex.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role)) if "\\" in role else role
+
+
 @dataclass(frozen=True)
 class Text:
     text: str
@@ -117,71 +133,140 @@ def format_turn(role: str, parts: list[Part], **sizes) -> Turn:
     flat = Flattener(**sizes)
     for part in parts:
         flat.visit(part)
-    content, head = "".join(flat.pieces), f"{START}{escape(role)}\n"
+    content, head = "".join(flat.pieces), f"{START}{escape_role(role)}\n"
     at = len(head)
     loss = (at, at + len(content)) if role == "assistant" else (at, at)
     return Turn(f"{head}{content}{END}\n", loss, tuple((k, r, p + at, n) for k, r, p, n in flat.attachments))
 
 
+#: A table of typed parts: kind is text, image, audio or document; of the other fields those of the kind count.
+PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+
+
+def typed(part: dict) -> Part:
+    """A part from a row of PARTS."""
+    match part["kind"]:
+        case "text":
+            return Text(part["text"] or "")
+        case "image":
+            return Image(part["ref"] or "", part["width"] or 0, part["height"] or 0)
+        case "audio":
+            return Audio(part["ref"] or "", part["seconds"] or 0.0)
+        case "document":
+            return Document(part["ref"] or "", part["pages"] or 0)
+    raise ValueError(f"a part of unknown kind {part['kind']!r}")
+
+
+class Reader:
+    """Reads a conversation's output back, fed in any blocks: turns as they end, and what its loss spans cover."""
+
+    def __init__(self):
+        self.held, self.at = "", 0  # text not yet read, and its place in the output
+
+    def feed(self, block: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of each turn that ends in what was fed so far, with placeholders left as they stand."""
+        self.held += block
+        while (end := self.held.find(f"{END}\n")) >= 0:
+            role, _, text = self.held[:end].removeprefix(START).partition("\n")
+            self.held = self.held[end + len(END) + 1 :]
+            self.at += end + len(END) + 1
+            yield unescape_role(role), unescape(text)
+
+
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of formatted text, with placeholders left as they stand."""
-    out = []
-    for turn in formatted.split(f"{END}\n")[:-1]:
-        role, _, text = turn.removeprefix(START).partition("\n")
-        out.append((unescape(role), unescape(text)))
-    return out
+    """(role, text) of each turn of a whole output."""
+    return list(Reader().feed(formatted))
 
 
+ATTACHMENTS = "array<struct<kind:string,ref:string,at:long,tokens:long>>"
+TURNS = f"turn long, formatted string, at long, loss_start long, loss_end long, attachments {ATTACHMENTS}, attachment_tokens long"
 RESULT = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def format_turns(rows: DataFrame, **sizes) -> DataFrame:
+    """conv_id and TURNS of each row of rows (conv_id, turn, role, and text or parts), in order within partitions.
+
+    at, loss_start, loss_end and the attachments' places count characters of the conversation's output.
+    """
+    spark, with_parts = rows.sparkSession, "parts" in rows.columns
+    id_field = T.StructField("conv_id", rows.schema["conv_id"].dataType)
+    schema = T.StructType([id_field, *T.StructType.fromDDL(TURNS).fields])
+    content = F.col("parts").cast(PARTS) if with_parts else F.col("text")
+    order = F.to_json("content") if with_parts else F.col("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        now, at, begun = None, 0, False
+        for batch in batches:
+            out: list[list] = [[] for _ in schema.fields]
+            for conv, turn, role, what in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if not begun or conv != now:
+                    now, at, begun = conv, 0, True
+                parts = [typed(p) for p in what or ()] if with_parts else [Text(what or "")]
+                made = format_turn(role or "", parts, **sizes)
+                attached = [{"kind": k, "ref": r, "at": at + p, "tokens": n} for k, r, p, n in made.attachments]
+                for column, v in zip(out, (conv, turn, made.text, at, at + made.loss[0], at + made.loss[1], attached, sum(a["tokens"] for a in attached))):
+                    column.append(v)
+                at += len(made.text)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds)], schema=kinds)
+
+    tune(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", content.alias("content")).repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", order)
+    return dealt.mapInArrow(run, schema)
+
+
 class _Digest:
-    """What a conversation's formatted turns, read back, add up to."""
+    """What a conversation's output, read back, adds up to."""
 
     def __init__(self):
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.loss, self.reader = hashlib.sha256(), hashlib.sha256(), Reader()
         self.n = self.loss_chars = self.chars = 0
 
-    def add(self, turn: Turn) -> None:
-        for role, text in parse_turns(turn.text):
-            self.turns.update(f"{role}\n{text}\n".encode())
-            self.n += 1
-        masked = unescape(turn.text[slice(*turn.loss)])
+    def add(self, formatted: str, loss: tuple[int, int]) -> None:
+        at = self.chars
+        masked = unescape(formatted[loss[0] - at : loss[1] - at])
         self.loss.update(masked.encode())
         self.loss_chars += len(masked)
-        self.chars += len(turn.text)
+        self.chars += len(formatted)
+        for role, text in self.reader.feed(formatted):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += 1
 
     def row(self) -> tuple:
         return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id and RESULT of each conversation of rows (conv_id, turn, role, text)."""
-    id_type = rows.schema["conv_id"].dataType.simpleString()
+def read_back(turns: DataFrame) -> DataFrame:
+    """conv_id and RESULT of each conversation, from the output of `format_turns` (its partitions and order)."""
+    id_field = turns.schema["conv_id"]
+    schema = T.StructType([id_field, *T.StructType.fromDDL(RESULT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", *(x.split()[0] for x in RESULT.split(", "))]
-        now, digest, kind = None, None, pa.int64()
+        kinds = to_arrow_schema(schema)
+        now, digest = None, None
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
         for batch in batches:
-            kind, out = batch.column(0).type, []
-            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+            out = []
+            for conv, formatted, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if digest is None or conv != now:
                     if digest is not None:
                         out.append((now, *digest.row()))
                     now, digest = conv, _Digest()
-                digest.add(format_turn(role or "", [Text(text or "")]))
-            yield _batch(out, names, kind)
+                digest.add(formatted, (a, b))
+            yield batch_of(out)
         if digest is not None:
-            yield _batch([(now, *digest.row())], names, kind)
+            yield batch_of([(now, *digest.row())])
+
+    return turns.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
 
-    def _batch(out: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
-        kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    tune(rows.sparkSession)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("conv_id", "turn", "role", "text").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, f"conv_id {id_type}, {RESULT}")
+def format_conversations(rows: DataFrame) -> DataFrame:
+    """conv_id and RESULT of each conversation of rows (conv_id, turn, role, and text or parts)."""
+    return read_back(format_turns(rows))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
