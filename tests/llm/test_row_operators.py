@@ -198,6 +198,31 @@ def test_toxicity_learns_pairs(spark):
     assert toxicity.Model([], __import__("numpy").zeros(0)).score(__import__("numpy").zeros(0, "uint8"), __import__("numpy").zeros(2, int))[0] == 0
 
 
+def test_toxicity_learns_pairs_without_marginal_effect(spark):
+    """Labelled a XOR b: neither term alone says anything."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([f"w{rng.randrange(300)}" for _ in range(20)] + ["alpha"] * a + ["beta"] * b), int(a != b)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame, frame.where("doc_id < 3000"))
+    scores = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert sum((scores[i] > 0.5) == bool(t) for i, _, t in rows[3000:]) >= 980
+
+
+def test_toxicity_odd_tables(spark):
+    frame = odd_docs(spark).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    twice = frame.unionByName(frame)
+    got = toxicity.score(twice, toxicity.fit(twice, labels)).collect()
+    assert len(got) == twice.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(frame.limit(0), toxicity.fit(frame.limit(0), labels)).count() == 0
+    assert {r.score for r in toxicity.score(frame, toxicity.fit(frame, labels.where("toxic = 1"))).collect()} == {1.0}
+    small, full = toxicity.fit(twice, labels, max_labelled=4), toxicity.fit(twice, labels)
+    assert small is not None and full is not None
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
