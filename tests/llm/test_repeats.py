@@ -75,6 +75,39 @@ def test_repeated_rows_and_empty_table(spark):
     assert repeats.dedup(frame.limit(0)).count() == 0
 
 
+def test_texts_that_cheat_a_power_of_two(spark):
+    """The Thue-Morse pattern and its complement have one polynomial hash modulo 2^64, but are different bytes."""
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    frame = spark.createDataFrame([(1, thue), (2, other), (3, "é" * 70 + thue[:2048]), (4, "é" * 70 + other[:2048]), (5, other)], "doc_id long, text string")
+    check(spark, frame, 100)
+
+
+def test_hash_collisions_are_harmless(spark, monkeypatch):
+    """In the suffix array all strings meet under one hash."""
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "mix", lambda h: h * np.uint64(0))
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(600)), np.uint8)
+    for depth in (5, 8, 9, 16, 19):
+        k, rank = repeats.suffix_ranks(data, np.arange(len(data) - depth + 1), depth)
+        own = [data[i : i + depth].tobytes() for i in k.tolist()]
+        every = [data[i : i + depth].tobytes() for i in range(len(data) - depth + 1)]
+        assert sorted(k.tolist()) == [i for i, w in enumerate(every) if every.count(w) > 1]
+        assert own == sorted(own) and all((a == b) == (x == y) for a, b, x, y in zip(own, own[1:], rank.tolist(), rank.tolist()[1:]))
+
+
+def test_long_text(spark):
+    """Beyond a stretch of the hash and a chunk, with repeats across stretches and characters of several bytes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdéß的") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    passage = " ".join(rng.choice(words) for _ in range(200))
+    long = " ".join(rng.choice(words) for _ in range(160_000))
+    frame = spark.createDataFrame([(1, passage), (2, long + passage + long[:5000] + passage), (3, None), (4, long[-40_000:])], "doc_id long, text string")
+    check(spark, frame, 100)
+
+
 def test_maximal_repeats():
     found = {w: at for w, at in repeats.maximal_repeats([b"xabcdefgyabcdefz", b"qabcdefg", b"cdeq"], 4)}
     assert found == {b"abcdefg": [(0, 1), (1, 1)], b"abcdef": [(0, 1), (0, 9), (1, 1)]}

@@ -4,8 +4,10 @@ Full suffix sorting of a large corpus is a sort of all its bytes.  Here it is do
 
 1. A string of `length` bytes belongs to the class of the smallest hash among its 32-byte substrings.  Consecutive
    strings of a class make a run (about 35 bytes on); two equal strings are always in runs of one class.
-2. Runs are dealt out by class as (class, hash of all bytes that the run's strings cover).  A run whose bytes were
-   seen earlier is covered as a whole.  A class with one kind of run holds no other repeats.  Both need no text.
+2. Runs are dealt out by class as (class, digest of all bytes that the run's strings cover).  A run whose bytes were
+   seen earlier is covered as a whole.  A class with one kind of run holds no other repeats.  Both need no text.  The
+   digest has 126 bits: a polynomial modulo 2^64 and two modulo primes, so that no pattern made to cheat the first
+   cheats all.
 3. Only the runs left, where repeats begin, end or differ, send their bytes.  Their group builds an enhanced suffix
    array, scans it with a stack into the tree of common-prefix intervals, tests each interval's left
    extension for diversity, and so finds the maximal repeats with all their occurrences.  All but the first occurrence
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, inverse_powers, prefix_hash, span_hash, table, texts
+from .common import U, inverse_powers, lanes, mix, prefix_hash, span_check, span_hash, table, texts
 from .exchange import REPLY, SENT, chunk_table, cut_by, groups_for, open_chunk, pack, rows, small, unpack
 
 LENGTH = 100
@@ -54,7 +56,7 @@ def sliding(a: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
 
 
 class Runs:
-    """Runs of strings with one anchor: row of the text, first start in it, number of strings, class, hash of covered bytes.
+    """Runs of strings with one anchor: row of the text, first start in it, number of strings, class, digest of covered bytes (two columns).
 
     A string's anchor is its leftmost substring of least hash; the class is that hash.  No two strings of a run are
     equal, as their anchors stand at different places in them.
@@ -62,7 +64,7 @@ class Runs:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         parts = [self._of(data, *piece, length) for piece in _pieces(offsets, length)]
-        for k, name in enumerate(("row", "start", "count", "kind", "cover")):
+        for k, name in enumerate(("row", "start", "count", "kind", "cover", "check")):
             setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, U if k > 2 else np.int64))
 
     @staticmethod
@@ -83,7 +85,7 @@ class Runs:
         if len(dead):
             stops = np.minimum(stops, np.append(dead, len(valid))[np.searchsorted(dead, starts)])
         piece = np.searchsorted(bounds, starts, "right") - 1
-        return row[piece], starts - bounds[piece] + begin[piece], stops - starts, h[(least[starts] & spot).astype(np.int64)], span_hash(sums, starts, stops + length - 1)
+        return row[piece], starts - bounds[piece] + begin[piece], stops - starts, h[(least[starts] & spot).astype(np.int64)], span_hash(sums, starts, stops + length - 1), span_check(part, starts, stops + length - 1)
 
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,6 +112,14 @@ def gram_hashes(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, (sums[n:] - sums[:-n]) * inverse_powers(len(data))[: len(data) - n + 1] * U(0xD6E8FEB86659FD93)
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before (of all rows but the first)."""
+    out = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        out = out | (c[1:] != c[:-1])
+    return out
+
+
 class Chunk:
     """A chunk's texts with their runs; the same whenever it is opened."""
 
@@ -121,11 +131,11 @@ class Chunk:
     def sent(self, ids: np.ndarray, groups: int):
         """Indexes of the runs that are sent, by group: of equal runs the first; and the groups."""
         r = self.runs
-        key, by_row = r.kind ^ r.cover * U(0x9E3779B97F4A7C15), ids[r.row]
-        order = np.arange(len(key)) if (by_row[1:] >= by_row[:-1]).all() else np.lexsort((r.start, by_row))
-        order = order[np.argsort(key[order], kind="stable")]
+        by_row = ids[r.row]
+        order = np.arange(len(by_row)) if (by_row[1:] >= by_row[:-1]).all() else np.lexsort((r.start, by_row))
+        order = order[np.lexsort((r.kind[order], r.check[order], r.cover[order]))]
         new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = changes(r.kind[order], r.check[order], r.cover[order])
         chosen = order[new]
         return chosen, group_of(r.kind[chosen], groups)
 
@@ -151,7 +161,7 @@ def _send(chunk: int, c: Chunk, groups: int, chosen: np.ndarray, g: np.ndarray,
             ends = r.start[i] + r.count[i] + with_bytes - 1
             what |= {"count": small(r.count[i]), "bytes": b"".join(c.data[a:b].tobytes() for a, b in zip(r.start[i].tolist(), ends.tolist()))}
         else:
-            what |= {"high": (r.cover[i] >> U(32)).astype(np.uint32), "low": (r.cover[i] >> U(16)).astype(np.uint16)}
+            what |= {"cover": r.cover[i], "check": r.check[i]}
         for column, v in zip(out, (k, chunk, pack(**what))):
             column.append(v)
     return rows(SENT, *out)
@@ -170,11 +180,11 @@ def _gather(table: pa.Table):
 def settle(table: pa.Table) -> pa.Table:
     """What becomes of each run sent to a group.  0: not repeated; 1: covered; 2: its bytes are needed."""
     parts, sizes, chunk, get, ids = _gather(table)
-    kind, cover = get("kind", U), get("high", U) << U(16) | get("low", U)
-    order = np.lexsort((get("row", np.int64), chunk, get("start", np.int64), ids, cover, kind))
+    kind, cover, check = get("kind", U), get("cover", U), get("check", U)
+    order = np.lexsort((get("row", np.int64), chunk, get("start", np.int64), ids, check, cover, kind))
     new_kind, new = np.ones(len(order), bool), np.ones(len(order), bool)
-    new_kind[1:] = kind[order][1:] != kind[order][:-1]
-    new[1:] = new_kind[1:] | (cover[order][1:] != cover[order][:-1])
+    new_kind[1:] = changes(kind[order])
+    new[1:] = changes(kind[order], cover[order], check[order])
     covers = np.bincount(np.cumsum(new_kind) - 1, weights=new)[np.cumsum(new_kind) - 1]
     state = np.empty(len(order), np.uint8)
     state[order] = np.where(~new, 1, np.where(covers > 1, 2, 0))
@@ -186,31 +196,30 @@ def settle(table: pa.Table) -> pa.Table:
 def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(those of `at` whose next `depth` bytes recur in `at`, rank of each among them by these bytes).
 
-    Equal strings meet by hash; one of each is sorted by its bytes.
+    Candidates meet by a hash of the bytes; those whose hash recurs are ranked by the bytes themselves.
     """
-    h = np.empty(len(at), U)
-    a = 0
-    while a < len(at):  # `at` rises; a stretch at a time keeps the tables of powers small
-        b = int(np.searchsorted(at, at[a] + PIECE_BYTES))
-        own = at[a:b] - at[a]
-        h[a:b] = span_hash(prefix_hash(data[at[a] : at[b - 1] + depth]), own, own + depth)
-        a = b
+    eight, spare = lanes(data), -depth % 8
+    keep = np.full(8, 255, np.uint8)
+    keep[8 - spare :] = 0  # bytes of the last lane that lie beyond
+    masks = [U(2**64 - 1)] * (-(-depth // 8) - 1) + [keep.view("<u8")[0]]
+    h = np.full(len(at), U(depth), U)
+    for k, m in enumerate(masks):
+        h = mix(h ^ (eight[at + 8 * k] & m))
     order = np.argsort(h, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
+    new[1:] = changes(h[order])
     size = np.diff(np.append(np.flatnonzero(new), len(order)))
-    recurs = np.repeat(size > 1, size)
-    one = at[order[new][size > 1]]
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    keys = []
-    for byte in range(0, depth, 8):
-        key = np.zeros(len(one), U)
-        for k in range(min(8, depth - byte)):
-            key = key << U(8) | padded[one + byte + k].astype(U)
-        keys.append(key)
-    rank = np.empty(len(one), np.int64)
-    rank[np.lexsort(keys[::-1])] = np.arange(len(one))
-    return order[recurs], np.repeat(rank, size[size > 1])
+    some = order[np.repeat(size > 1, size)]
+    if not len(some):
+        return some, some
+    keys = [(eight[at[some] + 8 * k] & m).byteswap() for k, m in enumerate(masks)]  # in order of the bytes
+    fine = np.lexsort(keys[::-1])
+    fresh = np.ones(len(fine), bool)
+    fresh[1:] = changes(*[k[fine] for k in keys])
+    rank = np.cumsum(fresh) - 1
+    size = np.bincount(rank)
+    recurs = size[rank] > 1
+    return some[fine][recurs], rank[recurs]
 
 
 def interval_tree(lcp: list[int], left: list[int], order: list[int], least: int, groups: list | None = None) -> list[int]:
@@ -383,8 +392,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: tuple[str, str, str, st
         return pa.table(columns, names)
 
     settled = chunks.mapInArrow(send, SENT).groupBy("g").applyInArrow(settle, REPLY)
-
-
     settled = table(spark, settled, "repeats-settled", "none")
     left = chunks.select("chunk", "payload")
     bytes_sent = left.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(send_bytes, SENT)
