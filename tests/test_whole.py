@@ -1,4 +1,4 @@
-"""Queries over whole tables, against brute force and against SQL without the cuts that the registered SQL has."""
+"""Queries over whole tables whose SQL is slow or missing, against brute force."""
 
 from itertools import combinations, product
 from math import dist, erfc
@@ -9,7 +9,6 @@ from wayfold.operators import statistics
 from wayfold.plans import registry
 
 from .conftest import SF
-from .test_oracle import duck, plain  # noqa: F401
 
 
 def smallest(nodes, linked):
@@ -34,31 +33,6 @@ def test_leakage_groups_of_all_samples(spark):
     assert len(set(split.values())) == len(set(want.values()))  # one split a group
 
 
-def without(name, *cuts):
-    """The registered SQL of a query with each (text, other text) replaced."""
-    out = registry.ORACLE[name]
-    for old, new in cuts:
-        assert old in out
-        out = out.replace(old, new)
-    return out
-
-
-def same(df, duck, query):  # noqa: F811
-    r = duck.execute(query)
-    have, cols = [d[0] for d in r.description], sorted(df.columns)
-    assert sorted(have) == cols
-    want = sorted([plain(row[have.index(c)]) for c in cols] for row in r.fetchall())
-    assert sorted([plain(row[c]) for c in cols] for row in df.collect()) == want
-
-
-def test_holm_over_all_orders(spark, duck):  # noqa: F811
-    same(registry.holm_adjusted(spark, SF), duck, without("holm_adjusted", (" WHERE o_orderkey <= 400", "")))
-
-
-def test_sign_flip_over_all_units(spark, duck):  # noqa: F811
-    same(registry.exact_sign_flip(spark, SF), duck, without("exact_sign_flip", (" WHERE unit <= 8", "")))
-
-
 def test_sign_flip_of_larger_pairs(spark):
     d = {"few": [1.0, -2.0, 3.5], "some": [(-1.0) ** (i % 3) * (i + 1) for i in range(12)], "many": [(-1.0) ** (i % 2) * (i + 1) for i in range(40)]}
     rows = spark.createDataFrame([(a, "z", i, x) for a, v in d.items() for i, x in enumerate(v)], "method_a string, method_b string, unit long, difference double")
@@ -71,19 +45,6 @@ def test_sign_flip_of_larger_pairs(spark):
     assert got["many"][0] == 1000 and abs(got["many"][1] - normal) < 0.08
 
 
-def test_cells_of_all_runs(spark, duck):  # noqa: F811
-    same(registry.shared_cells(spark, SF), duck, without("shared_cells", (" WHERE run_index = 0", "")))
-
-
-def test_ends_of_all_runs(spark, duck):  # noqa: F811
-    ends = ("SELECT scenario_id, track, max((floor", "SELECT scenario_id, track, run_index, max((floor")
-    same(registry.shared_ends(spark, SF), duck, without("shared_ends", (" WHERE run_index = 0", ""), ("trajectory_id AS track, ", "trajectory_id AS track, run_index, "), ends))
-
-
-def test_crossings_of_all_runs(spark, duck):  # noqa: F811
-    same(registry.crossings(spark, SF), duck, without("crossings", (" WHERE run_index = 0", ""), ("trajectory_id AS track", "trajectory_id || '#' || run_index AS track")))
-
-
 def test_groups_of_all_runs(spark):
     c, paths = registry.FEASIBILITY, {}
     for r in registry.layout.resample(registry._valid(spark, SF), 8).orderBy("point").collect():
@@ -101,7 +62,3 @@ def test_groups_of_all_runs(spark):
     groups = set(smallest(links, lambda n: links[n]).values())
     want = {s: (sum(g[0] == s for g in groups), sum(k[0] == s for k in paths)) for s, _ in links}
     assert {r.scenario_id: (r.support_groups, r.tracks) for r in registry.support_groups(spark, SF).collect()} == want
-
-
-def test_pairs_of_all_runs(spark, duck):  # noqa: F811
-    same(registry.route_pairs(spark, SF), duck, without("route_pairs", (" WHERE l.length_m >= 400", "")))

@@ -358,7 +358,7 @@ def _routes(spark, d):
     return path.join(layout.path_lengths(v), list(layout.RUN))
 
 
-_PAIRS = """pts AS (SELECT p.*, l.length_m FROM (RESAMPLE) p JOIN lengths l ON p.trajectory_id = l.trajectory_id AND p.run_index = l.run_index WHERE l.length_m >= 400)""".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
+_PAIRS = """pts AS (SELECT p.*, l.length_m FROM (RESAMPLE) p JOIN lengths l ON p.trajectory_id = l.trajectory_id AND p.run_index = l.run_index)""".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
 _PAIRS_SQL = """SELECT a.scenario_id, a.trajectory_id AS a_trajectory_id, a.run_index AS a_run_index, b.trajectory_id AS b_trajectory_id, b.run_index AS b_run_index, round(avg(e), 4) AS mean_error_m, round(max(e), 4) AS maximum_error_m, round(max(la / lb), 4) AS length_ratio,
  max(CASE WHEN point = 0 THEN e END) <= 60 AND max(CASE WHEN point = 7 THEN e END) <= 60 AND max(la / lb) BETWEEN 0.5 AND 2.0 AND avg(e) <= 60 AND max(e) <= 120 AS compatible
  FROM (SELECT a.scenario_id, a.trajectory_id, a.run_index, a.point, {0} AS b, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS e, a.length_m AS la, b.length_m AS lb FROM pts a JOIN pts b ON a.scenario_id = b.scenario_id AND a.point = b.point AND a.trajectory_id <> b.trajectory_id AND (a.trajectory_id < b.trajectory_id)) a GROUP BY ALL""".format("{{'trajectory_id': b.trajectory_id, 'run_index': b.run_index}}".replace("{{", "{").replace("}}", "}"))
@@ -425,7 +425,7 @@ def _busy(spark, d):
     sql(
         "SELECT t.grid_x, t.grid_y, CAST(min(r.code) // 2147483648 AS BIGINT) AS group_x FROM busy t JOIN reach r ON r.id = t.code GROUP BY t.grid_x, t.grid_y",
         "valid",
-        recursive="busy AS (SELECT DISTINCT CAST(floor(x_m / 4) AS BIGINT) AS grid_x, CAST(floor(y_m / 4) AS BIGINT) AS grid_y, CAST(floor(x_m / 4) AS BIGINT) * 2147483648 + CAST(floor(y_m / 4) AS BIGINT) AS code FROM valid WHERE run_index = 0 AND sample_index < 3), reach AS (SELECT code AS id, code FROM busy UNION SELECT b.code AS id, r.code FROM reach r JOIN busy a ON a.code = r.id JOIN busy b ON abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1)",
+        recursive="busy AS (SELECT DISTINCT CAST(floor(x_m / 4) AS BIGINT) AS grid_x, CAST(floor(y_m / 4) AS BIGINT) AS grid_y, CAST(floor(x_m / 4) AS BIGINT) * 2147483648 + CAST(floor(y_m / 4) AS BIGINT) AS code FROM valid), reach AS (SELECT code AS id, code FROM busy UNION SELECT b.code AS id, r.code FROM reach r JOIN busy a ON a.code = r.id JOIN busy b ON abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1)",
     )
 )
 def leakage_groups(spark, d):
@@ -540,10 +540,10 @@ def dual_bound_problems(spark, d):
 # --- statistics --------------------------------------------------------------------------------------------------
 
 
-def _metrics(spark, d):
+def _metrics(spark, d, unit="l_suppkey"):
     li = read(spark, d, "lineitem")
     cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double")
-    return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("method"), F.col("l_suppkey").alias("unit")).agg((cents / 100 / F.count("*")).alias("value"))
+    return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("method"), F.col(unit).alias("unit")).agg((cents / 100 / F.count("*")).alias("value"))
 
 
 def _methods(m):
@@ -552,8 +552,8 @@ def _methods(m):
     return m.select("method").distinct().withColumn("place", F.row_number().over(Window.orderBy("method")))
 
 
-def _diffs(spark, d):
-    m = _metrics(spark, d)
+def _diffs(spark, d, unit="l_suppkey"):
+    m = _metrics(spark, d, unit)
     return statistics.paired_differences(m, _methods(m), "unit")
 
 
@@ -576,7 +576,7 @@ def rank_biserial(spark, d):
     return rounded(statistics.rank_biserial(_diffs(spark, d)))
 
 
-@query("SELECT family, o_orderkey, round(max(st) OVER (PARTITION BY family ORDER BY p_value, o_orderkey ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p_value, o_orderkey) + 1) * p_value) AS st FROM (SELECT o_orderpriority AS family, o_orderkey, (o_orderkey * 7919 % 1000) / 1e6 AS p_value FROM orders WHERE o_orderkey <= 400))")
+@query("SELECT family, o_orderkey, round(max(st) OVER (PARTITION BY family ORDER BY p_value, o_orderkey ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p_value, o_orderkey) + 1) * p_value) AS st FROM (SELECT o_orderpriority AS family, o_orderkey, (o_orderkey * 7919 % 1000) / 1e6 AS p_value FROM orders))")
 def holm_adjusted(spark, d):
     p = read(spark, d, "orders").select(F.col("o_orderpriority").alias("family"), "o_orderkey", ((F.col("o_orderkey") * 7919 % 1000) / F.lit(1e6)).alias("p_value"))
     return rounded(statistics.holm(p, ("family",), "o_orderkey").select("family", "o_orderkey", "adjusted"), 9)
@@ -587,9 +587,19 @@ def bootstrap_and_sign_flip(spark, d):
     return statistics.resampled(_diffs(spark, d), 1000, 17, "unit")
 
 
-@query(sql("""SELECT f.method_a, f.method_b, count(*) AS flips, CAST(count(*) FILTER (abs(fs) >= seen) AS DOUBLE) / count(*) AS p_value FROM (SELECT method_a, method_b, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN q ELSE -q END) AS fs FROM (SELECT *, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM small) GROUP BY ALL) f JOIN (SELECT method_a, method_b, abs(sum(q)) AS seen FROM small GROUP BY ALL) s ON s.method_a = f.method_a AND s.method_b = f.method_b GROUP BY ALL""", "diffs2", recursive="small AS (SELECT *, CAST(row_number() OVER (PARTITION BY method_a, method_b ORDER BY unit) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY method_a, method_b) AS n, CAST(round(difference * 1e6) AS BIGINT) AS q FROM diffs2 WHERE unit <= 8)"))
+_FLIPS = """SELECT f.method_a, f.method_b, count(*) AS flips, CAST(count(*) FILTER (abs(fs) >= seen) AS DOUBLE) / count(*) AS p_value FROM (SELECT method_a, method_b, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN q ELSE -q END) AS fs FROM (SELECT *, unnest(range(CAST(pow(2, n) AS BIGINT))) AS mask FROM small) GROUP BY ALL) f JOIN (SELECT method_a, method_b, abs(sum(q)) AS seen FROM small GROUP BY ALL) s ON s.method_a = f.method_a AND s.method_b = f.method_b GROUP BY ALL"""
+_SMALL = "small AS (SELECT *, CAST(row_number() OVER (PARTITION BY method_a, method_b ORDER BY unit) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY method_a, method_b) AS n, CAST(round(difference * 1e6) AS BIGINT) AS q FROM diffs2)"
+
+
+@query(sql(_FLIPS, "diffs2", recursive=_SMALL).replace("l_suppkey AS unit", "l_linenumber AS unit"))
 def exact_sign_flip(spark, d):
-    """Over all units: exact for pairs of few units, sampled flips for larger ones."""
+    """Units are line numbers, few enough for all flips."""
+    return statistics.sign_flip(_diffs(spark, d, "l_linenumber"), 1000, 17)
+
+
+@query()
+def sampled_sign_flip(spark, d):
+    """Over all suppliers: exact for pairs of few units, sampled flips for larger ones."""
     return statistics.sign_flip(_diffs(spark, d), 1000, 17)
 
 
@@ -652,7 +662,7 @@ def _paths(spark, d):
     return p.select("scenario_id", F.col("trajectory_id").alias("track"), "run_index", "path")
 
 
-_PTS = "pts AS (SELECT scenario_id, trajectory_id AS track, point, x_m, y_m FROM (RESAMPLE) WHERE run_index = 0)".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
+_PTS = "pts AS (SELECT scenario_id, trajectory_id AS track, run_index, point, x_m, y_m FROM (RESAMPLE))".replace("RESAMPLE", _RESAMPLE.replace("round(x0", "(x0").replace("round(y0", "(y0").replace(", 4) AS", ") AS"))
 
 
 @query(sql("SELECT c.scenario_id, count(*) AS occupied_cells, count(*) FILTER (n >= 2) AS repeated_cells, coalesce(max(t.k), 0) AS supported_tracks FROM (SELECT scenario_id, cx, cy, count(*) AS n FROM at_ GROUP BY ALL) c LEFT JOIN (SELECT a.scenario_id, count(DISTINCT a.track) AS k FROM at_ a JOIN at_ b ON a.scenario_id = b.scenario_id AND a.cx = b.cx AND a.cy = b.cy AND a.track <> b.track GROUP BY ALL) t ON t.scenario_id = c.scenario_id GROUP BY c.scenario_id", "lengths", recursive=_PTS + ", at_ AS (SELECT DISTINCT scenario_id, track, CAST(floor(x_m / 20) AS BIGINT) AS cx, CAST(floor(y_m / 20) AS BIGINT) AS cy FROM pts)"))
@@ -663,7 +673,7 @@ def shared_cells(spark, d):
 _SIDE = "SELECT scenario_id, count(*) FILTER (n >= 2) AS {0}, count(*) FILTER (n >= 2 AND m >= 2) AS {1} FROM (SELECT scenario_id, {2}, count(DISTINCT track) AS n, count(DISTINCT {3}) AS m FROM ends_ GROUP BY scenario_id, {2}) GROUP BY scenario_id"
 
 
-@query(sql("SELECT a.scenario_id, repeated_starts, splits, repeated_ends, merges FROM (" + _SIDE.format("repeated_starts", "splits", "s", "e") + ") a JOIN (" + _SIDE.format("repeated_ends", "merges", "e", "s") + ") b ON a.scenario_id = b.scenario_id", "lengths", recursive=_PTS + ", ends_ AS (SELECT scenario_id, track, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 0) AS s, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 7) AS e FROM pts GROUP BY ALL)"))
+@query(sql("SELECT a.scenario_id, repeated_starts, splits, repeated_ends, merges FROM (" + _SIDE.format("repeated_starts", "splits", "s", "e") + ") a JOIN (" + _SIDE.format("repeated_ends", "merges", "e", "s") + ") b ON a.scenario_id = b.scenario_id", "lengths", recursive=_PTS + ", ends_ AS (SELECT scenario_id, track, run_index, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 0) AS s, max((floor(x_m / 25), floor(y_m / 25))) FILTER (point = 7) AS e FROM pts GROUP BY ALL)"))
 def shared_ends(spark, d):
     return feasibility.shared_ends(_paths(spark, d), FEASIBILITY)
 
@@ -674,7 +684,7 @@ kept AS (SELECT * FROM hit2 WHERE least(sqrt((x-afx)^2+(y-afy)^2), sqrt((x-alx)^
 tv AS (SELECT scenario_id, x_m AS tx, y_m AS ty FROM (SELECT *, h - lag(h) OVER (PARTITION BY scenario_id, track ORDER BY point) AS dh FROM (SELECT *, atan2(y1 - y_m, x1 - x_m) AS h FROM pc WHERE x1 IS NOT NULL)) WHERE abs(atan2(sin(dh), cos(dh))) >= 1.0)"""
 
 
-@query(sql("SELECT scenario_id, CAST(round_even(x, 0) AS BIGINT) AS x, CAST(round_even(y, 0) AS BIGINT) AS y, CASE WHEN bool_or(EXISTS (SELECT 1 FROM tv WHERE tv.scenario_id = kept.scenario_id AND sqrt((x - tx)^2 + (y - ty)^2) <= 3)) THEN 'observed_transition_supported' ELSE 'geometric_only_ambiguous' END AS reading FROM kept GROUP BY 1, 2, 3", "lengths", recursive=_PTS + _CROSS))
+@query(sql("SELECT scenario_id, CAST(round_even(x, 0) AS BIGINT) AS x, CAST(round_even(y, 0) AS BIGINT) AS y, CASE WHEN bool_or(EXISTS (SELECT 1 FROM tv WHERE tv.scenario_id = kept.scenario_id AND sqrt((x - tx)^2 + (y - ty)^2) <= 3)) THEN 'observed_transition_supported' ELSE 'geometric_only_ambiguous' END AS reading FROM kept GROUP BY 1, 2, 3", "lengths", recursive=_PTS.replace("trajectory_id AS track", "trajectory_id || '#' || run_index AS track") + _CROSS))
 def crossings(spark, d):
     return feasibility.crossings(_paths(spark, d), FEASIBILITY)
 
