@@ -127,18 +127,19 @@ class Transducer:
 
         A state is (last token, guesses); a guess is (tokens after what is agreed, trie node of the token under way;
         0: none).  What all guesses agree on is emitted after every `every` bytes; guesses are tuples in order, so what
-        the least and the greatest share all share.
+        the least and the greatest share all share.  As a text has one sequence of compatible neighbours, at each byte
+        at most one guess can end a token.
         """
         child, pairs, infos = self._child, self._pairs, self._info
         for count, byte in enumerate(piece, 1):
-            then = []
+            then, ended = [], False
             for done, node in live:
                 if (node := child.get(node << 8 | byte)) is None:
                     continue
                 info = infos[node]
                 if info & 1:
                     then.append((done, node))
-                if info > 1:
+                if info > 1 and not ended:
                     t = (info >> 1) - 1
                     if (last := done[-1] if done else before) is not None:
                         if (fits := pairs.get(last << 20 | t)) is None:
@@ -146,6 +147,7 @@ class Transducer:
                         if not fits:
                             continue
                     then.append(((*done, t), 0))
+                    ended = True
             live = then
             if count % every:
                 continue
