@@ -109,9 +109,14 @@ class Chooser:
 
 def telling_pairs(x: np.ndarray, error: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """Columns of x (0/1) that are half of a pair whose presence goes with the error of a fitted model."""
-    x = x.astype(np.float32)
-    both = x.T @ x
-    z = np.abs(x.T @ (x * error[:, None].astype(np.float32))) / np.sqrt(np.maximum(x.T @ (x * noise[:, None].astype(np.float32)), 1e-9))
+    n = x.shape[1]
+    both, sums, spread = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for a in range(0, len(x), 1024):
+        part = x[a : a + 1024].astype(np.float32)
+        both += part.T @ part
+        sums += part.T @ (part * error[a : a + 1024, None].astype(np.float32))
+        spread += part.T @ (part * noise[a : a + 1024, None].astype(np.float32))
+    z = np.abs(sums) / np.sqrt(np.maximum(spread, 1e-9))
     np.fill_diagonal(z, 0)
     return np.flatnonzero(((z >= LEAST_PAIR_Z) & (both >= 5 * LEAST_DOCS)).any(axis=1))
 
@@ -198,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 out.append(r[np.isin(r, wanted.value)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "buckets"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(select, "toxic int, buckets binary").collect()))  # at most max_labelled
+    rows = sorted(map(tuple, sample.mapInArrow(select, "toxic int, buckets binary").collect()))  # at most max_labelled, of known buckets
     drop(spark, sample)
     return Model([np.frombuffer(r[1], np.int32) for r in rows], np.array([float(r[0]) for r in rows]), chooser)
 
