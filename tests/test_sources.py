@@ -110,6 +110,32 @@ def test_map_source(spark, tmp_path):
     assert {r.map_element_id: round(r.m, 9) for r in size.collect() if r.map_element_id in ("lane:1", "area:5", "crossing:6")} == {"lane:1": 2.0, "area:5": 4.0, "crossing:6": 1.0}
 
 
+def test_centerlines_lie_between_boundaries(spark):
+    import math
+
+    point = "array<struct<x:double,y:double,z:double>>"
+    left = [(0.0, 4.0, 0.0), (3.0, 4.0, 1.0), (3.0, 4.0, 1.0), (10.0, 6.0, 1.0)]
+    right = [(0.0, 0.0, 0.0), (12.0, 0.0, 0.0)]
+    row = spark.createDataFrame([(left, right), ([(1.0, 1.0, 1.0)] * 2, right)], f"l {point}, r {point}")
+    got = row.select(providers.midline(F.col("l"), F.col("r"), 7).alias("m"), providers.sample_line(F.col("l"), 2.5).alias("s")).collect()
+
+    def at(points, share):
+        steps = [math.dist(a, b) for a, b in zip(points, points[1:])]
+        left_over = share * sum(steps)
+        for a, b, d in zip(points, points[1:], steps):
+            if d and left_over <= d + 1e-12:
+                return [p + (q - p) * left_over / d for p, q in zip(a, b)]
+            left_over -= d
+        return list(points[-1])
+
+    want = [[(p + q) / 2 for p, q in zip(at(left, k / 6), at(right, k / 6))] for k in range(7)]
+    assert [[round(v, 9) for v in m] for m in got[0].m] == [[round(v, 9) for v in w] for w in want]
+    assert got[1].m is None and got[1].s is None  # no length
+    total = sum(math.dist(a, b) for a, b in zip(left, left[1:]))
+    n = math.ceil(total / 2.5) + 1
+    assert [[round(v, 9) for v in m] for m in got[0].s] == [[round(v, 9) for v in at(left, k / (n - 1))] for k in range(n)]
+
+
 def test_wkb():
     for kind, p in (("point", [(1.0, 2.0, None)]), ("linestring", [(0.0, 0.0, 1.0), (1.0, 1.0, 2.0)]), ("polygon", [(0, 0, None), (1, 0, None), (1, 1, None)])):
         back, points = geometry.decode_wkb(geometry.encode_wkb(kind, p))

@@ -74,3 +74,8 @@ def seed(root: int, *parts: Column) -> Column:
 def merged_flags(lists: Column) -> Column:
     """Order-preserving distinct union of collected string lists, trimmed, blanks dropped."""
     return F.array_distinct(F.filter(F.transform(F.flatten(lists), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def utc_text(t: Column) -> Column:
+    """A time without zone, taken as UTC, as ISO text with microseconds."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.motion import wrap
 from ..schemas import EVENT_TYPES, WAYPOINT_ROLES, rank_of
+from .replay import replay
 from .sequence import TRACK, islands, run_table
 
 
@@ -121,12 +122,18 @@ def accelerations(feat: DataFrame, config: EventConfig = EventConfig()) -> DataF
 
 
 def gaps(samples: DataFrame, valid: DataFrame) -> DataFrame:
-    """Between neighbouring runs; with the invalid samples inside."""
+    """Between neighbouring runs; with the invalid samples inside.
+
+    One pass over each track in order: an invalid sample belongs to the gap after the last valid run before it.
+    """
     w = Window.partitionBy(*TRACK).orderBy("run_index")
     lead = lambda c: F.lead(c).over(w)
     r = run_table(valid).select(*TRACK, "run_index", F.col("end_index").alias("a"), F.col("end_time_ns").alias("at"), lead("start_index").alias("b"), lead("start_time_ns").alias("bt")).where("b is not null")
-    bad = samples.where("not is_valid").select(*TRACK, "sample_index", F.col("timestamp_ns").alias("bad_ns"))
-    g = r.join(bad, list(TRACK)).where("sample_index > a and sample_index < b").groupBy(*TRACK, "run_index", "a", "at", "b", "bt").agg(F.count("*").alias("invalid_samples"), F.min("bad_ns").alias("first_invalid_ns"), F.max("bad_ns").alias("last_invalid_ns"))
+    every = Window.partitionBy(*TRACK).orderBy("sample_index")
+    starts = F.col("is_valid") & ~F.coalesce(F.lag("is_valid").over(every), F.lit(False))
+    s = samples.select(*TRACK, "sample_index", "timestamp_ns", "is_valid", islands(starts, every).cast("int").alias("run_index"))
+    bad = s.where("not is_valid and run_index >= 0").groupBy(*TRACK, "run_index").agg(F.count("*").alias("invalid_samples"), F.min("timestamp_ns").alias("first_invalid_ns"), F.max("timestamp_ns").alias("last_invalid_ns"))
+    g = r.join(bad, [*TRACK, "run_index"])
     g = g.withColumns({"start_index": F.col("a"), "anchor_index": F.col("a"), "end_index": F.col("b"), "start_time_ns": F.col("at"), "anchor_time_ns": F.col("at"), "end_time_ns": F.col("bt"), "ordinal": F.col("run_index")})
     return g.select(*RUN, *_event(F.lit("gap"), F.lit(None)), "invalid_samples", "first_invalid_ns", "last_invalid_ns")
 
@@ -171,6 +178,34 @@ def waypoints(valid: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("waypoint_index", (F.row_number().over(w) - 1).cast("int"))
 
 
+def waypoint_ids(points: DataFrame, tape: str) -> DataFrame:
+    """waypoints with role_ordinal (its place among the track's waypoints of that role) and an id made from what names it."""
+    w = Window.partitionBy(*TRACK, "waypoint_role").orderBy("waypoint_index")
+    p = points.withColumn("role_ordinal", (F.row_number().over(w) - 1).cast("int"))
+    name = F.concat_ws("|", F.lit(tape), *TRACK, "waypoint_role", F.col("sample_index").cast("string"), F.coalesce("event_id", F.lit("")), F.col("role_ordinal").cast("string"))
+    return p.withColumn("waypoint_id", F.concat(F.lit("semantic-waypoint:"), F.sha2(name, 256)))
+
+
+def waypoint_replay(points: DataFrame, valid: DataFrame, segs: DataFrame) -> DataFrame:
+    """One row a track: its waypoints' replay errors against the source samples, in waypoint order, and the greatest (0 if none).
+
+    An elevation that only one side has counts as 0 on the other; a velocity error is there where both sides have one.
+    Waypoints without a source sample or a replayed state are counted as unresolved.
+    """
+    source = valid.select(*TRACK, "sample_index", *[F.col(c).alias(f"source_{c}") for c in ("x_m", "y_m", "z_m", "velocity_x_mps", "velocity_y_mps")])
+    r = replay(segs, points).join(source, [*TRACK, "sample_index"], "left")
+    d = lambda c: F.coalesce(f"replay_{c}", F.lit(0.0)) - F.coalesce(f"source_{c}", F.lit(0.0))
+    ok = F.col("replay_x_m").isNotNull() & F.col("source_x_m").isNotNull()
+    e = F.when(ok, F.sqrt(d("x_m") * d("x_m") + d("y_m") * d("y_m") + d("z_m") * d("z_m")))
+    vx, vy = (F.col(f"replay_{c}") - F.col(f"source_{c}") for c in ("velocity_x_mps", "velocity_y_mps"))
+    r = r.withColumns({"position_error_m": e, "velocity_error_mps": F.sqrt(vx * vx + vy * vy)})
+    listed = lambda c: F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("waypoint_index", c))), lambda x: x[c]))
+    return r.groupBy(*TRACK).agg(
+        F.count("*").alias("waypoints"), F.count_if(~ok).alias("unresolved"), listed("position_error_m").alias("position_errors_m"), listed("velocity_error_mps").alias("velocity_errors_mps"),
+        F.coalesce(F.max("position_error_m"), F.lit(0.0)).alias("maximum_position_error_m"), F.coalesce(F.max("velocity_error_mps"), F.lit(0.0)).alias("maximum_velocity_error_mps"),
+    )
+
+
 def summary(found: DataFrame) -> DataFrame:
     """Events and tracks with one, by type; types without events are there with 0."""
     types = found.sparkSession.createDataFrame([(t,) for t in EVENT_TYPES], "event_type string")

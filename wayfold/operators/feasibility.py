@@ -56,9 +56,18 @@ def shared_ends(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig(
 
 
 def agreeing_pairs(paths: DataFrame, config: FeasibilityConfig = FeasibilityConfig()) -> DataFrame:
-    """Pairs of paths of different tracks, with equal point counts, that run alike, or else alike once one is reversed: scenario_id, a, b (tracks), relation."""
+    """Pairs of paths of different tracks, with equal point counts, that run alike, or else alike once one is reversed: scenario_id, a, b (tracks), relation.
+
+    One path begins near where the other begins or ends, so they meet by cells of the size of that bound: one cell for
+    the left path's start, the cells around both ends for the right one.
+    """
+    at = lambda p, c: F.floor(p[c] / F.lit(float(config.start_m))).cast("long")
     a, b = (paths.select("scenario_id", F.col("track").alias(n), F.col("path").alias(f"{n}_path")) for n in ("a", "b"))
-    j = a.join(b, "scenario_id").where("a < b and size(a_path) = size(b_path)")
+    first = F.element_at("a_path", 1)
+    a = a.withColumns({"cx": at(first, "x_m"), "cy": at(first, "y_m")})
+    around = [F.struct((at(F.element_at("b_path", e), "x_m") + i).alias("cx"), (at(F.element_at("b_path", e), "y_m") + j).alias("cy")) for e in (1, -1) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    b = b.withColumn("c", F.explode(F.array_distinct(F.array(*around)))).select("*", "c.*").drop("c")
+    j = a.join(b, ["scenario_id", "cx", "cy"]).where("a < b and size(a_path) = size(b_path)").drop("cx", "cy")
 
     def alike(other):
         d = F.zip_with("a_path", other, lambda p, q: F.sqrt((p["x_m"] - q["x_m"]) * (p["x_m"] - q["x_m"]) + (p["y_m"] - q["y_m"]) * (p["y_m"] - q["y_m"])))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.motion import describe, heading_error, interval_iou, nearest_rank, position_error, velocity_error
+from ..functions.motion import describe, exact_sum, heading_error, interval_iou, nearest_rank, position_error, velocity_error
 from ..schemas import EVENT_TYPES
 from . import kernels
+from .graph import written
 from .grouped import per_group
-from .replay import gap_probes, replay
+from .replay import BUCKET_NS, gap_probes, replay
 from .sequence import TRACK, run_table
+from .statistics import quantiles
 
 
 def errors(valid: DataFrame, segs: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
@@ -40,15 +42,27 @@ def track_metrics(err: DataFrame) -> DataFrame:
     )
 
 
+def describe_all(df: DataFrame, x: Column) -> DataFrame:
+    """functions.motion.describe over a whole table: sums by partial aggregation, quantiles by narrowing, so that no task holds all values."""
+    values = written(df.sparkSession, df.select(x.alias("v")))
+    v = F.col("v")
+    found = quantiles(values, "v", (0.5, 0.95))
+    n = F.count(v)
+    return values.agg(
+        n.alias("count"), (exact_sum(v) / F.nullif(n, F.lit(0))).alias("mean"), F.lit(found[0.5]).cast("double").alias("median"), F.lit(found[0.95]).cast("double").alias("p95"),
+        F.max(v).alias("maximum"), F.coalesce(exact_sum(v), F.lit(0.0)).alias("sum"), F.coalesce(exact_sum(v * v), F.lit(0.0)).alias("sum_of_squares"),
+    )
+
+
 def micro(err: DataFrame) -> DataFrame:
     """Statistics over all samples."""
-    return err.agg(describe(F.col("position_error_m")).alias("s")).select("s.*")
+    return describe_all(err, F.col("position_error_m"))
 
 
 def macro(err: DataFrame) -> DataFrame:
     """Statistics over the tracks' mean errors; tracks without errors don't count."""
     means = err.groupBy(*TRACK).agg(describe(F.col("position_error_m"))["mean"].alias("m"))
-    return means.agg(describe(F.col("m")).alias("s")).select("s.*")
+    return describe_all(means, F.col("m"))
 
 
 def gap_metrics(valid: DataFrame, segs: DataFrame) -> DataFrame:
@@ -57,9 +71,15 @@ def gap_metrics(valid: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def overlapping_pairs(source: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs of events of one track and type that overlap, with their IoU."""
+    """Pairs of events of one track and type that overlap, with their IoU.
+
+    Events are put into the time buckets that they touch; a pair counts in the bucket where the later one starts.
+    """
     pick = lambda df, p: df.select(*TRACK, "event_type", F.col("event_id").alias(f"{p}_id"), F.col("start_time_ns").alias(f"{p}_start"), F.col("end_time_ns").alias(f"{p}_end"))
-    j = pick(source, "a").join(pick(other, "b"), [*TRACK, "event_type"]).where("a_start <= b_end and b_start <= a_end")
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_NS)
+    wide = lambda df, p: pick(df, p).withColumn("bucket", F.explode(F.sequence(bucket(f"{p}_start"), bucket(f"{p}_end"))))
+    j = wide(source, "a").join(wide(other, "b"), [*TRACK, "event_type", "bucket"]).where("a_start <= b_end and b_start <= a_end")
+    j = j.where(F.col("bucket") == F.floor(F.greatest("a_start", "b_start") / BUCKET_NS)).drop("bucket")
     return j.withColumn("iou", interval_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).where("iou > 0")
 
 

@@ -51,16 +51,27 @@ def gap_probes(segs: DataFrame, runs: DataFrame) -> DataFrame:
     return replay(segs, gap_midpoints(runs)).withColumn("unexpected", F.col("replay_x_m").isNotNull())
 
 
-def in_gap(runs: DataFrame, times: DataFrame) -> DataFrame:
+def in_gap(runs: DataFrame, times: DataFrame, bucket_ns: int = BUCKET_NS) -> DataFrame:
     """times with in_gap: strictly between the end of one run and the start of the next."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*TRACK).orderBy("run_index")
+    b = lambda c: F.floor(F.col(c) / bucket_ns)
     gaps = runs.select(*TRACK, F.col("end_time_ns").alias("a"), F.lead("start_time_ns").over(w).alias("b")).where("b is not null")
-    hit = times.select(*TRACK, "timestamp_ns").distinct().join(gaps, list(TRACK)).where("timestamp_ns > a and timestamp_ns < b").select(*TRACK, "timestamp_ns").withColumn("in_gap", F.lit(True))
+    wide = gaps.withColumn("bucket", F.explode(F.sequence(b("a"), b("b"))))
+    asked = times.select(*TRACK, "timestamp_ns").distinct().withColumn("bucket", b("timestamp_ns"))
+    hit = asked.join(wide, [*TRACK, "bucket"]).where("timestamp_ns > a and timestamp_ns < b").select(*TRACK, "timestamp_ns").distinct().withColumn("in_gap", F.lit(True))
     return times.join(hit, [*TRACK, "timestamp_ns"], "left").withColumn("in_gap", F.coalesce("in_gap", F.lit(False)))
 
 
+def endpoint_states(segs: DataFrame) -> DataFrame:
+    """The state at each source sample that segments start or end at, once each, and whether segments disagree about it."""
+    names = ("x_m", "y_m", "z_m", "heading_rad", "velocity_x_mps", "velocity_y_mps")
+    side = lambda e: segs.select(*TRACK, F.col(f"{e}_sample_index").alias("sample_index"), F.struct(*[F.col(f"{e}_{n}").alias(n) for n in names]).alias("state"))
+    g = side("start").unionByName(side("end")).groupBy(*TRACK, "sample_index").agg(F.min("state").alias("state"), (F.min("state") != F.max("state")).alias("conflict"))
+    return g.select(*TRACK, "sample_index", "state.*", "conflict")
+
+
 def densify(segs: DataFrame, step_ns: int) -> DataFrame:
     """States every step_ns along each segment, ends included."""
     times = F.array_distinct(F.concat(F.sequence("start_time_ns", "end_time_ns", F.lit(step_ns)), F.array("end_time_ns")))

@@ -108,3 +108,23 @@ def leakage_groups(spark: SparkSession, found: DataFrame, grid: Grid = Grid()) -
     g = t.join(connected_components(spark, edges), "id", "left").withColumn("c", F.coalesce("component", "id"))
     names = t.select(F.col("id").alias("c"), F.col("grid_x").alias("group_x"), F.col("grid_y").alias("group_y"))
     return g.join(names, "c").select("grid_x", "grid_y", "group_x", "group_y")
+
+
+def source_lines(valid: DataFrame, origin_x: Column, origin_y: Column) -> DataFrame:
+    """A line for each run of two samples or more, moved into the source frame; with elevation only if all its samples have one."""
+    point = F.struct("sample_index", (F.col("x_m") + origin_x).alias("x"), (F.col("y_m") + origin_y).alias("y"), F.col("z_m").alias("z"))
+    runs = valid.groupBy(*RUN).agg(F.array_sort(F.collect_list(point)).alias("p"), (F.count("z_m") == F.count("*")).alias("elevated"))  # a run is one unit of all operators
+    line = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.when(F.col("elevated"), q["z"]).alias("z")))
+    return runs.where(F.size("p") > 1).select(*RUN, line.alias("line"))
+
+
+def moved(points: Column, origin_x: Column, origin_y: Column) -> Column:
+    """An array of (x, y, z) moved by an origin; elevations stay."""
+    return F.transform(points, lambda p: F.struct((p["x"] + origin_x).alias("x"), (p["y"] + origin_y).alias("y"), p["z"].alias("z")))
+
+
+def map_tiles(pieces: DataFrame, occupied: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Map elements (map_element_id and straight pieces x0 ... y1) in tiles that motion occupies, with the length inside."""
+    s = pieces.withColumns({"min_x": F.least("x0", "x1"), "max_x": F.greatest("x0", "x1"), "min_y": F.least("y0", "y1"), "max_y": F.greatest("y0", "y1")})
+    t = candidate_tiles(s, grid).drop("min_x", "max_x", "min_y", "max_y").join(occupied.select("grid_x", "grid_y").distinct(), ["grid_x", "grid_y"], "left_semi")
+    return clip(tile_bounds(t, grid)).groupBy("map_element_id", "grid_x", "grid_y").agg(F.sum(F.round(F.col("clipped_m") * 1e6).cast("long")).alias("length_um"))

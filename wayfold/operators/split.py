@@ -6,14 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import seed
-
-#: A single ordered rank over all rows needs one task; ranks are over units (scenarios, groups), never over samples.
+from .graph import written
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with the place of each row in order, from 1, without bringing all rows into one task.
+
+    Rows are dealt out by ranges of the order and written once, numbered within each range, and moved up by the
+    number of rows in the ranges before (as many numbers as there are partitions).
+    """
+    spark, part = df.sparkSession, f"{name}_part"
+    ranges = written(spark, df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = sorted((r[part], r["n"]) for r in ranges.groupBy(part).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(before, f"{part} int, {name}_before long"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranges.join(offsets, part).withColumn(name, (own + F.col(f"{name}_before")).cast("int" if total < 1 << 31 else "long")).drop(part, f"{name}_before")
 
 
 def ranked(units: DataFrame, unit: str, root: int, *parts: str) -> DataFrame:
     """units with seed and rank (from 1), by seed and then unit."""
     s = units.withColumn("seed", seed(root, *map(F.lit, parts), F.col(unit)))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy("seed", unit)))
+    return numbered(s, "rank", "seed", unit)
 
 
 def allocate(rank: Column, counts: dict[str, int]) -> Column:
@@ -55,8 +71,10 @@ def overlap_problems(tiles: DataFrame, reach: int = 1) -> DataFrame:
 
 def stable_rank(df: DataFrame, metric: str, identity: str, descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """df with rank (from 1) by metric, ties by identity, and candidate_count."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     m = F.col(metric).desc() if descending else F.col(metric).asc()
+    if not by:
+        return numbered(df, "rank", m, identity).withColumn("candidate_count", F.lit(df.count()))
+    w = Window.partitionBy(*by)
     return df.withColumns({"rank": F.row_number().over(w.orderBy(m, identity)), "candidate_count": F.count("*").over(w)})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import AGENT_CLASSES
+from ..schemas import AGENT_CLASSES, MAP_ELEMENTS, rank_of
 from .sequence import TRACK, summaries
 
 #: Reasons in order of precedence (fixed values).
@@ -82,3 +82,62 @@ def identical_keyframes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Tracks whose keyframe counts differ between two methods."""
     j = a.select(*TRACK, F.col("keyframe_count").alias("ka")).join(b.select(*TRACK, F.col("keyframe_count").alias("kb")), list(TRACK), "full_outer")
     return j.where(~F.col("ka").eqNullSafe(F.col("kb")))
+
+
+def frame_mismatches(scenarios: DataFrame, frames: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Scenarios whose frame is missing ("frame") or differs from them, null-safely, with the first field that does."""
+    b = frames.select("scenario_id", *[F.col(f).alias(f"frame_{f}") for f in fields], F.lit(True).alias("has_frame"))
+    j = scenarios.join(b, "scenario_id", "left")
+    field = F.when(F.col("has_frame").isNull(), "frame")
+    for f in fields:
+        field = field.when(~F.col(f).eqNullSafe(F.col(f"frame_{f}")), f)
+    return j.select("scenario_id", field.alias("field")).where("field is not null")
+
+
+def in_canonical_order(excluded: DataFrame, units: tuple[str, ...], reasons: tuple[str, ...]) -> DataFrame:
+    """excluded (unit_type, unit_id, reason, ...) by kind of unit, id, and reason in their declared orders."""
+    return excluded.orderBy(rank_of(F.col("unit_type"), units), "unit_id", rank_of(F.col("reason"), reasons))
+
+
+#: Type of a geometry, by the code in its WKB (fixed values).
+WKB_TYPES = {1: "point", 2: "linestring", 3: "polygon"}
+
+
+def map_element_problems(elements: DataFrame, kinds: tuple[str, ...] = MAP_ELEMENTS) -> DataFrame:
+    """Map elements with the first thing wrong: repeated id, unknown type, itself or one twice as neighbour, or a geometry of another type than declared."""
+    w = Window.partitionBy("scenario_id", "map_element_id")
+    links = F.concat(F.coalesce("successor_ids", F.array().cast("array<string>")), F.array("left_neighbor_id"), F.array("right_neighbor_id"))
+    twice = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    # byte order, then the type; elevation adds 1000 or a high bit
+    raw = F.hex(F.substring("geometry_wkb", 2, 4))
+    code = F.conv(F.concat(*[F.substring(raw, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long").bitwiseAND(0x0FFFFFFF) % 1000
+    stored = F.create_map(*[F.lit(x) for kv in WKB_TYPES.items() for x in kv])[code.cast("int")]
+    problem = (
+        F.when(F.count("*").over(w) > 1, "repeated_id").when(~F.col("element_type").isin(*kinds), "element_type").when(F.array_contains(F.array_compact(links), F.col("map_element_id")), "own_neighbour")
+        .when(twice(F.col("successor_ids")) | twice(F.col("predecessor_ids")), "repeated_neighbour").when(~F.col("geometry_type").eqNullSafe(stored), "geometry_type")
+    )
+    return elements.withColumn("problem", problem).where("problem is not null").select("scenario_id", "map_element_id", "problem")
+
+
+def membership_problems(templates: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (template_id, member_id, member_index) without a template, or whose indexes aren't 0 to member_count - 1."""
+    w = Window.partitionBy("template_id")
+    m = members.withColumns({"place": F.row_number().over(w.orderBy("member_index", "member_id")) - 1, "n": F.count("*").over(w)}).join(templates.select("template_id", "member_count"), "template_id", "left")
+    problem = F.when(F.col("member_count").isNull(), "unknown_template").when(F.col("n") != F.col("member_count"), "member_count").when(F.col("member_index") != F.col("place"), "index")
+    return m.withColumn("problem", problem).where("problem is not null").select("template_id", "member_id", "problem")
+
+
+def split_problems(recorded: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Units of a recorded split that aren't in the split made again from its configuration, or the other way round."""
+    return differing_rows(recorded.select(key, "split"), again.select(key, "split"))
+
+
+def metric_problems(rows: DataFrame, exact: tuple[str, ...], bounds: dict[str, tuple[str, float]], slack: float = 1e-9) -> DataFrame:
+    """Metric rows (configuration, ...) that break what must hold: no error of exact configurations, bounds of the others.
+
+    bounds: configuration -> (column, limit); exact: configurations whose maximum_error_m must be 0.
+    """
+    problem = F.when(F.col("configuration").isin(*exact) & (F.col("maximum_error_m") != 0), "exact_error")
+    for name, (column, limit) in bounds.items():
+        problem = problem.when((F.col("configuration") == name) & (F.col(column) > limit + slack), f"{column}_bound")
+    return rows.withColumn("problem", problem).where("problem is not null")

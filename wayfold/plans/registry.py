@@ -755,3 +755,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from . import analysis  # noqa: E402, F401 - registers its queries

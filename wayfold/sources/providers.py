@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,12 +64,55 @@ def motion_agents(rows: DataFrame) -> DataFrame:
     return s.join(k, "agent_id")
 
 
+def resample_points(points: Column, count: Column) -> Column:
+    """`count` points at equal steps of arc length along an array of (x, y, z); the ends stay as they are.
+
+    In columns only: running lengths by `aggregate`, then for each target the piece that holds it.  A line without
+    length gives null.
+    """
+    step = lambda p, q: F.sqrt(sum((q[c] - p[c]) * (q[c] - p[c]) for c in "xyz"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: step(points[i - 1], points[i]))
+    along = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
+
+    def of(t: Column) -> Column:
+        p, s, n = t["p"], t["s"], t["n"]
+        total = F.element_at(s, -1)
+
+        def at(k: Column) -> Column:
+            target = total * k / (n - 1)
+            i = F.greatest(F.lit(1), F.least(F.size(F.filter(s, lambda v: v < target)), F.size(p) - 1)) - 1
+            u = (target - s[i]) / F.nullif(s[i + 1] - s[i], F.lit(0.0))
+            return F.struct(*[F.when(k == 0, p[0][c]).when(k == n - 1, F.element_at(p, -1)[c]).otherwise(p[i][c] + (p[i + 1][c] - p[i][c]) * u).alias(c) for c in "xyz"])
+
+        return F.when(total > 0, F.transform(F.sequence(F.lit(0), n - 1), at))
+
+    named = F.struct(points.alias("p"), along.alias("s"), count.cast("int").alias("n"))
+    return F.when(F.size(points) > 1, F.transform(F.array(named), of)[0])
+
+
+#: Points of a centerline (fixed value).
+CENTERLINE_POINTS = 50
+
+
+def midline(left: Column, right: Column, count: int = CENTERLINE_POINTS) -> Column:
+    """The mean of two boundaries, each at equal steps of its own length."""
+    n = F.lit(count)
+    return F.zip_with(resample_points(left, n), resample_points(right, n), lambda p, q: F.struct(*[((p[c] + q[c]) / 2).alias(c) for c in "xyz"]))
+
+
+def sample_line(points: Column, interval: float) -> Column:
+    """Points at equal steps of at most `interval` along an array of (x, y, z), both ends included; null without length."""
+    step = lambda p, q: F.sqrt(sum((q[c] - p[c]) * (q[c] - p[c]) for c in "xyz"))
+    length = F.aggregate(F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: step(points[i - 1], points[i])), F.lit(0.0), lambda s, d: s + d)
+    return resample_points(points, F.greatest(F.lit(2), F.ceil(length / interval) + 1))
+
+
 _POINT = "struct<x:double,y:double,z:double>"
 _MAP = f"""lane_segments map<string,struct<id:long,is_intersection:boolean,lane_type:string,left_lane_boundary:array<{_POINT}>,right_lane_boundary:array<{_POINT}>,left_lane_mark_type:string,right_lane_mark_type:string,left_neighbor_id:long,right_neighbor_id:long,predecessors:array<long>,successors:array<long>>>,
 drivable_areas map<string,struct<id:long,area_boundary:array<{_POINT}>>>, pedestrian_crossings map<string,struct<id:long,edge1:array<{_POINT}>,edge2:array<{_POINT}>>>"""
 
 
-def map_elements(spark: SparkSession, path: str, scenario: str) -> DataFrame:
+def map_elements(spark: SparkSession, path: str, scenario: str, centerline_points: int = CENTERLINE_POINTS) -> DataFrame:
     """Lane boundaries, drivable areas and crossings of a map file, with WKB; references that leave the map are kept apart."""
     m = spark.read.schema(_MAP.replace("\n", " ")).json(path, multiLine=True)
     ids = F.transform(F.map_values("lane_segments"), lambda s: s["id"])
@@ -83,7 +126,9 @@ def map_elements(spark: SparkSession, path: str, scenario: str) -> DataFrame:
 
     near = lambda c: F.when(F.array_contains("known", c), name("lane", c))
     outside = F.transform(F.array_except(F.array_union(F.col("l.successors"), F.col("l.predecessors")), F.col("known")), lambda i: i.cast("string"))
-    middle = F.col("l.left_lane_boundary")
+    # made row by row (explode of one), as a Python UDF takes columns that are there already
+    lanes = lanes.withColumn("middle", F.explode(F.array(midline(F.col("l.left_lane_boundary"), F.col("l.right_lane_boundary"), centerline_points))))
+    middle = F.col("middle")
     out = [rows(lanes, name("lane", F.col("l.id")), "lane_centerline", wkb_linestring(middle), "directed", "linestring", succ=refs(F.col("l.successors")), pred=refs(F.col("l.predecessors")), left=near(F.col("l.left_neighbor_id")), right=near(F.col("l.right_neighbor_id")), outside=outside)]
     for side in ("left", "right"):
         out.append(rows(lanes, name(f"boundary:{side}", F.col("l.id")), "lane_boundary", wkb_linestring(F.col(f"l.{side}_lane_boundary")), "not_applicable", "linestring", parent=name("lane", F.col("l.id"))))
