@@ -223,9 +223,12 @@ def primitive_counts(spark, d):
     return _segments(spark, d).groupBy(*TRACK, "primitive_type").agg(F.count("*").alias("segments"))
 
 
-@query()
+_DENSE = ", ".join(f"round(CASE WHEN t = s_t THEN s_{a} WHEN t = e_t THEN e_{a} ELSE s_{a} + (e_{a} - s_{a}) * (CAST(t - s_t AS DOUBLE) / CAST(nullif(e_t - s_t, 0) AS DOUBLE)) END, 6) AS {a}_m" for a in "xy")
+
+
+@query(sql(f"SELECT scenario_id, trajectory_id, run_index, segment_index, t AS timestamp_ns, {_DENSE} FROM (SELECT *, unnest(list_distinct(list_concat(range(s_t, e_t + 1, 50000000), [e_t]))) AS t FROM segs)", "segs"))
 def densified_segments(spark, d):
-    return replay.densify(_segments(spark, d), 50_000_000).select(*TRACK, "run_index", "segment_index", "timestamp_ns", "x_m", "y_m")
+    return rounded(replay.densify(_segments(spark, d), 50_000_000).select(*TRACK, "run_index", "segment_index", "timestamp_ns", "x_m", "y_m"))
 
 
 # --- events ------------------------------------------------------------------------------------------------------
@@ -391,7 +394,10 @@ def nearest_lanes(spark, d):
     return rounded(layout.nearest_lanes(p, _lanes(spark), 4.0).where("lane_id is not null").select("id", "lane_id", "distance_m"))
 
 
-@query()
+_LANE_OF = _LANE.replace("SELECT trajectory_id || '#' || sample_index AS id, ", "SELECT scenario_id, trajectory_id, run_index, sample_index, ").replace("(SELECT v.trajectory_id, v.sample_index,", "(SELECT v.scenario_id, v.trajectory_id, v.run_index, v.sample_index,")
+
+
+@query(sql("SELECT scenario_id, trajectory_id, run_index, list(lane_id ORDER BY sample_index) AS lanes FROM (SELECT *, lag(lane_id) OVER (PARTITION BY trajectory_id, run_index ORDER BY sample_index) AS before FROM at_lane) WHERE before IS DISTINCT FROM lane_id GROUP BY ALL", "valid", recursive=f"at_lane AS ({_LANE_OF})"))
 def lane_sequences(spark, d):
     v = _valid(spark, d).withColumn("id", F.concat_ws("#", "trajectory_id", F.col("sample_index").cast("string")))
     m = layout.nearest_lanes(v.select("id", "x_m", "y_m"), _lanes(spark), 4.0).select("id", "lane_id")
@@ -421,11 +427,14 @@ def _busy(spark, d):
     return spatial.tile_of(_valid(spark, d), spatial.Grid(4.0, 1.0))
 
 
+_BUSY = "busy AS (SELECT DISTINCT CAST(floor(x_m / 4) AS BIGINT) AS grid_x, CAST(floor(y_m / 4) AS BIGINT) AS grid_y, CAST(floor(x_m / 4) AS BIGINT) * 2147483648 + CAST(floor(y_m / 4) AS BIGINT) AS code FROM valid), reach AS (SELECT code AS id, code FROM busy UNION SELECT b.code AS id, r.code FROM reach r JOIN busy a ON a.code = r.id JOIN busy b ON abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1)"
+
+
 @query(
     sql(
         "SELECT t.grid_x, t.grid_y, CAST(min(r.code) // 2147483648 AS BIGINT) AS group_x FROM busy t JOIN reach r ON r.id = t.code GROUP BY t.grid_x, t.grid_y",
         "valid",
-        recursive="busy AS (SELECT DISTINCT CAST(floor(x_m / 4) AS BIGINT) AS grid_x, CAST(floor(y_m / 4) AS BIGINT) AS grid_y, CAST(floor(x_m / 4) AS BIGINT) * 2147483648 + CAST(floor(y_m / 4) AS BIGINT) AS code FROM valid), reach AS (SELECT code AS id, code FROM busy UNION SELECT b.code AS id, r.code FROM reach r JOIN busy a ON a.code = r.id JOIN busy b ON abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1)",
+        recursive=_BUSY,
     )
 )
 def leakage_groups(spark, d):
@@ -453,7 +462,16 @@ def motion_split(spark, d):
     return split.motion_split(n, "r0", COUNTS, 17)
 
 
-@query()
+_LAYOUT = "grouped AS (SELECT t.grid_x, t.grid_y, CAST(min(r.code) // 2147483648 AS BIGINT) AS group_x, CAST(min(r.code) % 2147483648 AS BIGINT) AS group_y FROM busy t JOIN reach r ON r.id = t.code GROUP BY t.grid_x, t.grid_y)"
+
+
+@query(
+    sql(
+        f"""SELECT g.*, CASE WHEN r <= 3 THEN 'development' ELSE 'test' END AS split FROM grouped g JOIN (SELECT unit, row_number() OVER (ORDER BY {_SEED}, unit) AS r FROM (SELECT unit, {_seed_sql(17, '"layout"', 'unit')} AS h FROM (SELECT DISTINCT group_x || ':' || group_y AS unit FROM grouped))) u ON u.unit = g.group_x || ':' || g.group_y""",
+        "valid",
+        recursive=_BUSY + ", " + _LAYOUT,
+    )
+)
 def layout_split(spark, d):
     g = spatial.leakage_groups(spark, _busy(spark, d), spatial.Grid(4.0, 1.0))
     return split.layout_split(g, {"development": 3, "test": 10_000_000}, 17)
