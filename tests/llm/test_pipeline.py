@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from wayfold.llm import quality, repeats
 
@@ -12,6 +14,33 @@ from .test_row_operators import brute_contamination, brute_rules, tiktoken_encod
 SF = "/root/testdata/sf0.001"
 
 
+def odd_frame(spark):
+    """Nulls in every column, blank, long and repeated texts, repeated ids, and columns named like working columns."""
+    words = [f"w{i}" for i in range(400)]
+    good = " ".join(words[:300])
+    texts = [None, "", " \n", good, good, good + " tail", "é" * 70_000, " ".join(words[100:380]) + " " + good, "x " * 3000]
+    rows = [(i if i != 3 else 4, t, None if i % 2 else "en", None, None if i % 3 else len(t or ""), f"k{i}", i, "c", i % 2 == 0) for i, t in enumerate(texts)]
+    rows += [(None, good, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), rows[4]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, text_key string, chunk long, kept string, lost_id boolean")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, name, stage):
+    frame = odd_frame(spark)
+    for docs in (frame, frame.repartition(3), frame.limit(0)):
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert len(rows) <= docs.count()
+        if name == "tokens":
+            assert len(rows) == docs.count() and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"} <= set(out.columns)
+        else:
+            assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+        if docs.count() and name == "near_duplicates":
+            assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 4 for r in rows) == 1
+        if docs.count() and name in ("repeated_passages", "benchmark_passages"):
+            assert len(rows) == docs.count()
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

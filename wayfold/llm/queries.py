@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .bpe import op3_byte_bpe
 from .chat import op10_chat_format
 from .decontaminate import op1_decontaminate
@@ -26,4 +27,11 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE: dict[str, str] = {}
+#: The others need a tokenizer library, a fitted model or a random sampler; tests/llm holds them against brute force,
+#: the libraries or held-out rows.
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": oracle.DECONTAMINATE,
+    "op5_near_dedup": oracle.NEAR_DEDUP,
+    "op9_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op10_chat_format": oracle.CHAT_FORMAT,
+}
