@@ -38,14 +38,17 @@ def rdp(x: np.ndarray, y: np.ndarray, z: np.ndarray, tolerance: float) -> np.nda
     return np.flatnonzero(keep)
 
 
-def _fractions(c: dict, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For start s: seconds to every later end, the share u of each end's span at every sample from s on, and which are interior."""
+#: Ends of segments looked at together: bounds the arrays of a start to so many rows.
+ENDS = 256
+
+
+def _fractions(c: dict, s: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For start s: seconds to each end, the share u of each end's span at every sample from s to the last end, and which are interior."""
     t = c["t"]
-    ends = np.arange(s + 1, len(t))
     span = (t[ends] - t[s])[:, None]
-    inside = np.arange(s, len(t))[None, :] < ends[:, None]
+    inside = np.arange(s, ends[-1] + 1)[None, :] < ends[:, None]
     inside[:, 0] = False
-    return span / 1e9, np.where(inside, (t[s:][None, :] - t[s]) / span, 0.0), inside
+    return span / 1e9, np.where(inside, (t[s : ends[-1] + 1][None, :] - t[s]) / span, 0.0), inside
 
 
 def candidates(c: dict, position_bound: float, velocity_bound: float | None, primitives: tuple[str, ...], counters: dict | None = None) -> list[list[tuple]]:
@@ -58,41 +61,43 @@ def candidates(c: dict, position_bound: float, velocity_bound: float | None, pri
     high, known = not np.isnan(z).any(), ~np.isnan(vx) & ~np.isnan(vy)
     count = counters if counters is not None else {}
     for s in range(n - 1):
-        seconds, u, inside = _fractions(c, s)
-        e = np.arange(s + 1, n)
-        both = known[s] & known[e]
         same = (x[s:] == x[s]) & (y[s:] == y[s]) & ((z[s:] == z[s]) if high else True)
-        still = np.logical_and.accumulate(same)[1:]
+        still_to = np.logical_and.accumulate(same)
         mine = []
-        for rank, kind in enumerate(primitives):
-            if kind == "cubic_hermite":
-                u2, u3 = u * u, u * u * u
-                ok = both.copy()
-                axes = []
-                for p, v in ((x, vx), (y, vy)):
-                    a, b, va, vb = p[s], p[e][:, None], v[s], v[e][:, None]
-                    axes.append(((2 * u3 - 3 * u2 + 1) * a + (u3 - 2 * u2 + u) * seconds * va + (3 * u2 - 2 * u3) * b + (u3 - u2) * seconds * vb, ((6 * u2 - 6 * u) * (a - b)) / seconds + (3 * u2 - 4 * u + 1) * va + (3 * u2 - 2 * u) * vb))
-                (rx, rvx), (ry, rvy) = axes
-            else:
-                ok = still.copy() if kind == "hold" else np.ones(len(e), bool)
-                move = 0.0 if kind == "hold" else u
-                rx, ry = (p[s] + (p[e][:, None] - p[s]) * move for p in (x, y))
-                rvx, rvy = (v[s] + (v[e][:, None] - v[s]) * u for v in (vx, vy))
-            off = (rx - x[s:]) ** 2 + (ry - y[s:]) ** 2
-            if high:
-                off = off + (z[s] + (z[e][:, None] - z[s]) * u - z[s:]) ** 2
-            off = np.where(inside, off, 0.0)
-            near = np.isfinite(off).all(axis=1) & (np.sqrt(off.max(axis=1)) <= position_bound + GUARD)
-            judged = inside & known[s:][None, :] & both[:, None]
-            slip = np.where(judged, (rvx - vx[s:]) ** 2 + (rvy - vy[s:]) ** 2, 0.0)
-            smooth = np.ones(len(e), bool)
-            if velocity_bound is not None:
-                missing = (inside & known[s:][None, :] & ~both[:, None]).any(axis=1)
-                smooth = ~missing & (np.sqrt(slip.max(axis=1)) <= velocity_bound + GUARD)
-            for name, v in (("intervals", len(e)), ("contract", (~ok).sum()), ("position", (ok & ~near).sum()), ("velocity", (ok & near & ~smooth).sum()), ("accepted", (ok & near & smooth).sum())):
-                count[name] = count.get(name, 0) + int(v)
-            for k in np.flatnonzero(ok & near & smooth).tolist():
-                mine.append((s + 1 + k, rank, float(off[k].sum()), float(slip[k].sum())))
+        for low in range(s + 1, n, ENDS):
+            e = np.arange(low, min(low + ENDS, n))
+            to = slice(s, e[-1] + 1)
+            seconds, u, inside = _fractions(c, s, e)
+            both, still = known[s] & known[e], still_to[e - s]
+            for rank, kind in enumerate(primitives):
+                if kind == "cubic_hermite":
+                    u2, u3 = u * u, u * u * u
+                    ok = both.copy()
+                    axes = []
+                    for p, v in ((x, vx), (y, vy)):
+                        a, b, va, vb = p[s], p[e][:, None], v[s], v[e][:, None]
+                        axes.append(((2 * u3 - 3 * u2 + 1) * a + (u3 - 2 * u2 + u) * seconds * va + (3 * u2 - 2 * u3) * b + (u3 - u2) * seconds * vb, ((6 * u2 - 6 * u) * (a - b)) / seconds + (3 * u2 - 4 * u + 1) * va + (3 * u2 - 2 * u) * vb))
+                    (rx, rvx), (ry, rvy) = axes
+                else:
+                    ok = still.copy() if kind == "hold" else np.ones(len(e), bool)
+                    move = 0.0 if kind == "hold" else u
+                    rx, ry = (p[s] + (p[e][:, None] - p[s]) * move for p in (x, y))
+                    rvx, rvy = (v[s] + (v[e][:, None] - v[s]) * u for v in (vx, vy))
+                off = (rx - x[to]) ** 2 + (ry - y[to]) ** 2
+                if high:
+                    off = off + (z[s] + (z[e][:, None] - z[s]) * u - z[to]) ** 2
+                off = np.where(inside, off, 0.0)
+                near = np.isfinite(off).all(axis=1) & (np.sqrt(off.max(axis=1)) <= position_bound + GUARD)
+                judged = inside & known[to][None, :] & both[:, None]
+                slip = np.where(judged, (rvx - vx[to]) ** 2 + (rvy - vy[to]) ** 2, 0.0)
+                smooth = np.ones(len(e), bool)
+                if velocity_bound is not None:
+                    missing = (inside & known[to][None, :] & ~both[:, None]).any(axis=1)
+                    smooth = ~missing & (np.sqrt(slip.max(axis=1)) <= velocity_bound + GUARD)
+                for name, v in (("intervals", len(e)), ("contract", (~ok).sum()), ("position", (ok & ~near).sum()), ("velocity", (ok & near & ~smooth).sum()), ("accepted", (ok & near & smooth).sum())):
+                    count[name] = count.get(name, 0) + int(v)
+                for k in np.flatnonzero(ok & near & smooth).tolist():
+                    mine.append((low + k, rank, float(off[k].sum()), float(slip[k].sum())))
         out.append(mine)
     return out
 

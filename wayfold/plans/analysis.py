@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.motion import exact_sum
-from ..operators import analysis, events, metrics, replay, selection, sequence, spatial, tape, validate
+from ..operators import analysis, events, metrics, replay, selection, sequence, spatial, validate
 from ..operators.sequence import TRACK
-from ..sources import bindings, providers
+from ..sources import providers
 from .oracle import PI, sql
-from .registry import CONFIG, GRID, _events, _segments, _valid, query, read, rounded
+from .registry import _events, _segments, _valid, query, read, rounded
 
 # --- scenario summaries ------------------------------------------------------------------------------------------
 
@@ -330,13 +329,6 @@ def membership_problems(spark, d):
 # --- tiles and lines ---------------------------------------------------------------------------------------------
 
 
-@query(sql("SELECT i.grid_x, i.grid_y, i.tracks, i.length_mm, coalesce(o.samples, 0) AS samples FROM (SELECT grid_x, grid_y, list_sort(list(DISTINCT trajectory_id)) AS tracks, CAST(sum(length_um) AS BIGINT) // 1000000 AS length_mm FROM tiled GROUP BY ALL) i LEFT JOIN (SELECT CAST(floor(x_m / 10) AS BIGINT) AS grid_x, CAST(floor(y_m / 10) AS BIGINT) AS grid_y, count(*) AS samples FROM valid GROUP BY ALL) o ON o.grid_x = i.grid_x AND o.grid_y = i.grid_y", "tiled", "valid"))
-def tile_members(spark, d):
-    """Tiles that paths cross, with length to the metre."""
-    t = spatial.tiles(_valid(spark, d), GRID)
-    return t.select("grid_x", "grid_y", "tracks", F.floor(F.col("length_um") / 1000000).alias("length_mm"), "samples")
-
-
 @query(sql("SELECT scenario_id, trajectory_id, run_index, points, round(length_m, 5) AS length_m, round(first_x, 6) AS first_x, elevated FROM (SELECT l.scenario_id, l.trajectory_id, l.run_index, l.length_m, count(*) AS points, arg_min(v.x_m, v.sample_index) + 1000 AS first_x, count(v.z_m) = count(*) AS elevated FROM lengths l JOIN valid v ON v.trajectory_id = l.trajectory_id AND v.run_index = l.run_index GROUP BY ALL HAVING count(*) > 1)", "lengths", "valid"))
 def source_lines(spark, d):
     g = spatial.source_lines(_valid(spark, d), F.lit(1000.0), F.lit(0.0))

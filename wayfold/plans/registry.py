@@ -11,7 +11,7 @@ from ..functions import identity, motion
 from ..operators import campaign, codecs, events, feasibility, graph, layout, metrics, replay, sequence, spatial, split, statistics, tape, validate
 from ..operators.sequence import TRACK
 from ..sources import bindings
-from .oracle import PI, sql, stats
+from .oracle import CTES, PI, sql, stats
 
 #: Event thresholds for the test binding, whose speeds are large.
 CONFIG = events.EventConfig(stop_speed_mps=40.0, stop_ns=500_000_000)
@@ -417,9 +417,23 @@ def tile_lengths(spark, d):
     return spatial.tile_lengths(_valid(spark, d), GRID).select(*TRACK, "grid_x", "grid_y", F.floor(F.col("length_um") / 1000).alias("length_mm"))
 
 
-@query()
+#: The tiles' contexts: the same clipping with a margin of 2 around each box.
+_NEAR = CTES["tiled"][1]
+for _a, _b in (("cand2", "nearcand2"), ("cand AS", "nearcand AS"), ("FROM cand)", "FROM nearcand)"), ("box AS", "nearbox AS"), ("FROM box)", "FROM nearbox)"), ("par AS", "nearpar AS"), ("FROM par", "FROM nearpar"), ("clipped", "nearclipped"), ("tiled AS", "near AS"),
+               ("least(x0, x1) / 10.0", "(least(x0, x1) - 2) / 10.0"), ("greatest(x0, x1) / 10.0", "(greatest(x0, x1) + 2) / 10.0"), ("least(y0, y1) / 10.0", "(least(y0, y1) - 2) / 10.0"), ("greatest(y0, y1) / 10.0", "(greatest(y0, y1) + 2) / 10.0"),
+               ("AS DOUBLE) AS min_x", "AS DOUBLE) - 2 AS min_x"), ("+ 10 AS max_x", "+ 12 AS max_x"), ("AS DOUBLE) AS min_y", "AS DOUBLE) - 2 AS min_y"), ("+ 10 AS max_y", "+ 12 AS max_y")):
+    _NEAR = _NEAR.replace(_a, _b)
+
+
+@query(
+    sql(
+        "SELECT i.grid_x, i.grid_y, i.tracks, i.length_um // 1000000 AS length_m, coalesce(n.k, 0) AS context_tracks, coalesce(o.samples, 0) AS samples FROM (SELECT grid_x, grid_y, list_sort(list(DISTINCT trajectory_id)) AS tracks, CAST(sum(length_um) AS BIGINT) AS length_um FROM tiled GROUP BY ALL) i LEFT JOIN (SELECT grid_x, grid_y, count(DISTINCT trajectory_id) AS k FROM near GROUP BY ALL) n ON n.grid_x = i.grid_x AND n.grid_y = i.grid_y LEFT JOIN (SELECT CAST(floor(x_m / 10) AS BIGINT) AS grid_x, CAST(floor(y_m / 10) AS BIGINT) AS grid_y, count(*) AS samples FROM valid GROUP BY ALL) o ON o.grid_x = i.grid_x AND o.grid_y = i.grid_y",
+        "tiled", "valid", recursive=_NEAR,
+    )
+)
 def tiles(spark, d):
-    return spatial.tiles(_valid(spark, d), GRID)
+    t = spatial.tiles(_valid(spark, d), GRID)
+    return t.select("grid_x", "grid_y", "tracks", F.floor(F.col("length_um") / 1000000).alias("length_m"), "context_tracks", "samples")
 
 
 def _busy(spark, d):
