@@ -98,3 +98,40 @@ def test_configuration_and_listing(spark):
             artifacts.parse_listing_page(bad, "r/")
     pages = spark.createDataFrame([(0, page.format("false", "", "a")), (1, page.format("false", "", "b")), (2, page.format("false", "", "a"))], "page int, xml string")
     assert sorted(map(tuple, artifacts.listing(spark, pages, "r/").collect())) == [("r/a", 3), ("r/b", 3)]
+
+
+def test_semantic_tables(spark, tmp_path):
+    from wayfold.operators import events, layout, semantic
+    from wayfold.plans import registry
+    from wayfold.schemas import violations
+    from wayfold.sources import bindings
+
+    from .conftest import SF
+
+    samples = bindings.samples(spark, SF)
+    valid, found = registry._valid(spark, SF).cache(), registry._events(spark, SF).cache()
+    points = events.waypoints(valid, found).cache()
+    agents = samples.select("scenario_id", "trajectory_id", "agent_id", F.lit("vehicle").alias("agent_class")).distinct()
+    stops = found.where("event_type = 'stop'")
+    routes = layout.routes(valid, stops, registry.ROUTES)
+    members = layout.templates(routes, registry.ROUTES)
+    categories, templates, memberships = semantic.route_tables(members, routes, agents, "uniform-5")
+    tables = {
+        "semantic_waypoints": semantic.waypoint_table(points, valid, "uniform-5"), "motion_events": semantic.event_table(found, points, "uniform-5"),
+        "motion_categories": categories, "route_templates": templates, "route_template_memberships": memberships,
+    }
+    made = artifacts.write_tables(spark, str(tmp_path), "semantic", tables)
+    got = artifacts.load_tables(spark, str(tmp_path), "semantic")
+    rows = {t["schema"]: t["row_count"] for t in made["tables"]}
+    assert rows["semantic_waypoints"] == points.count() and rows["motion_events"] == found.count() and rows["route_template_memberships"] == members.count()
+    for name, df in got.items():
+        assert violations(df, TABLES[name]).isEmpty()
+    events_, ways = got["motion_events"], got["semantic_waypoints"]
+    for end in ("start", "anchor", "end"):  # each event's waypoints are there, at its times
+        j = events_.join(ways, (events_[f"{end}_waypoint_id"] == ways["waypoint_id"]) & (events_["procedural_track_id"] == ways["procedural_track_id"]))
+        assert j.where(F.col(f"{end}_time_ns") == F.col("timestamp_ns")).count() == events_.count()
+    assert validate.membership_problems(got["route_templates"], got["route_template_memberships"].withColumnRenamed("procedural_track_id", "member_id").withColumnRenamed("membership_index", "member_index")).isEmpty()
+    lead = got["route_template_memberships"].where("membership_index = 0")
+    assert lead.where("mean_path_error_m <> 0 or start_distance_m <> 0 or path_length_ratio <> 1").isEmpty() and lead.count() == got["route_templates"].count()
+    total = got["motion_categories"].agg(F.sum("template_count")).first()[0]
+    assert total == got["route_templates"].count()
