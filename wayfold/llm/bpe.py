@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -35,11 +35,11 @@ from .common import release, tune
 
 #: Bytes, by the estimates below, that a worker keeps of distinct pieces (in each of two generations), of transitions
 #: and of pairs of tokens before it starts afresh.
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 96 << 20
 TRANSITION_BYTES = 40 << 20
 PAIR_BYTES = 24 << 20
 #: What an entry of the caches takes beside its own text, ids or guesses: dictionary slots, tuples, numbers.
-_PIECE, _TRANSITION, _STATE, _GUESS, _PAIR = 220, 240, 240, 110, 160
+_PIECE, _TRANSITION, _STATE, _GUESS, _PAIR = 320, 240, 240, 110, 160
 #: Bytes after which a run that isn't stored looks for what can be emitted (stored transitions look after each byte), so
 #: the lookahead is that of the longest token and so many bytes.
 EMIT_EVERY = 8
@@ -130,42 +130,45 @@ class Transducer:
         the least and the greatest share all share.  As a text has one sequence of compatible neighbours, at each byte
         at most one guess can end a token.
         """
-        child, pairs, infos = self._child, self._pairs, self._info
+        step, fitting, infos = self._child.get, self._pairs.get, self._info
+        dones, nodes = map(list, zip(*live)) if live else ([], [])
         for count, byte in enumerate(piece, 1):
-            then, ended = [], False
-            for done, node in live:
-                if (node := child.get(node << 8 | byte)) is None:
+            kept, at, ended = [], [], None
+            for done, node in zip(dones, nodes):
+                if (node := step(node << 8 | byte)) is None:
                     continue
                 info = infos[node]
                 if info & 1:
-                    then.append((done, node))
-                if info > 1 and not ended:
+                    kept.append(done)
+                    at.append(node)
+                if ended is None and info > 1:
                     t = (info >> 1) - 1
                     if (last := done[-1] if done else before) is not None:
-                        if (fits := pairs.get(last << 20 | t)) is None:
+                        if (fits := fitting(last << 20 | t)) is None:
                             fits = self._compatible(last, t)
                         if not fits:
                             continue
-                    then.append(((*done, t), 0))
-                    ended = True
-            live = then
+                    ended = (*done, t)
+            if ended is not None:
+                kept.append(ended)
+                at.append(0)
+            dones, nodes = kept, at
             if count % every:
                 continue
-            if len(then) == 1:
-                (emitted, node), = then
-                live = [((), node)]
+            if len(dones) == 1:
+                emitted, dones = dones[0], [()]
             else:
-                low, high = min(then)[0], max(then)[0]
+                low, high = min(dones), max(dones)
                 agreed, most = 0, min(len(low), len(high))
                 while agreed < most and low[agreed] == high[agreed]:
                     agreed += 1
                 emitted = low[:agreed]
                 if agreed:
-                    live = [(done[agreed:], node) for done, node in then]
+                    dones = [done[agreed:] for done in dones]
             if emitted:
                 before = emitted[-1]
                 out += emitted
-        return before, tuple(live)
+        return before, tuple(zip(dones, nodes))
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """One transition of the determinised machine, stored when it is first taken."""
@@ -213,7 +216,7 @@ class Transducer:
 
 
 class Pieces(dict):
-    """piece -> its ids as decimals joined by commas, made once per distinct piece.
+    """piece -> (its ids as decimals joined by commas, the bytes that these decode to), made once per distinct piece.
 
     Two generations: what was used lately survives when the older generation goes.
     """
@@ -221,21 +224,22 @@ class Pieces(dict):
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
-        self.older: dict[str, str] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
         self.held = 0
 
-    def __missing__(self, piece: str) -> str:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = ",".join(map(str, self.machine.encode(piece.encode())))
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        both = self.older.get(piece)
+        if both is None:
+            ids = self.machine.encode(piece.encode())
+            both = (",".join(map(str, ids)), b"".join(map(self.machine.bytes_of.__getitem__, ids)))
         if len(piece) < 200:
             if self.held >= PIECE_BYTES:
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
-            self.held += _PIECE + 4 * len(piece) + len(ids)
-            self[piece] = ids
-        return ids
+            self.held += _PIECE + 5 * len(piece) + len(both[0])
+            self[piece] = both
+        return both
 
 
 class Utf8Stream:
@@ -274,23 +278,28 @@ class Utf8Stream:
 _codecs: dict[tuple[str, str], tuple] = {}
 
 
-def codec(path: str, pattern: str) -> tuple[regex.Pattern, Pieces, dict[str, bytes], Transducer]:
-    """One per worker: compiled pattern, piece cache, bytes by decimal id, transducer."""
+def codec(path: str, pattern: str) -> tuple[regex.Pattern, Pieces, Transducer]:
+    """One per worker: compiled pattern, piece cache, transducer."""
     if (path, pattern) not in _codecs:
         machine = Transducer(load_ranks(path))
-        _codecs[path, pattern] = (regex.compile(pattern), Pieces(machine), {str(i): t for i, t in machine.bytes_of.items()}, machine)
+        _codecs[path, pattern] = (regex.compile(pattern), Pieces(machine), machine)
     return _codecs[path, pattern]
 
 
-def id_blocks(text: str, pattern: regex.Pattern, pieces: Pieces) -> Iterator[str]:
-    """The ids of a text as comma-joined blocks; one block unless the text is very long."""
+def id_blocks(text: str, pattern: regex.Pattern, pieces: Pieces) -> Iterator[tuple[str, bytes]]:
+    """The ids of a text, comma-joined, and the bytes that they decode to; one block unless the text is very long."""
     if len(text) < LONG_TEXT:
         if text:
-            yield ",".join(map(pieces.__getitem__, pattern.findall(text)))
+            yield _block(map(pieces.__getitem__, pattern.findall(text)))
         return
     found = (m.group() for m in pattern.finditer(text))
     while block := list(islice(found, 50_000)):
-        yield ",".join(map(pieces.__getitem__, block))
+        yield _block(map(pieces.__getitem__, block))
+
+
+def _block(both: Iterable[tuple[str, bytes]]) -> tuple[str, bytes]:
+    ids, raw = zip(*both)
+    return ",".join(ids), b"".join(raw)
 
 
 def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -302,23 +311,21 @@ def encode_decode(df: DataFrame, path: str, pattern: str, keep_ids: bool = False
     kept = [f for f in df.schema.fields if f.name.lower() not in names and f.name != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces, bytes_of, machine = codec(path, pattern)
+        split, pieces, machine = codec(path, pattern)
         if machine.held >= TRANSITION_BYTES:
             machine.reset()
-        get = bytes_of.__getitem__
         for batch in batches:
             counts, id_hashes, text_hashes, all_ids = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 n, ids_hash, text_hash, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-                for block in id_blocks(text or "", split, pieces):
+                for ids, raw in id_blocks(text or "", split, pieces):
                     if n:
                         ids_hash.update(b",")
-                    ids_hash.update(block.encode())
-                    each = block.split(",")
-                    n += len(each)
-                    text_hash.update(stream.feed(b"".join(map(get, each))).encode())
+                    ids_hash.update(ids.encode())
+                    n += ids.count(",") + 1
+                    text_hash.update(stream.feed(raw).encode())
                     if keep_ids:
-                        all_ids.append(np.array(each).astype(np.int32))
+                        all_ids.append(np.array(ids.split(",")).astype(np.int32))
                 text_hash.update(stream.finish().encode())
                 counts.append(n)
                 id_hashes.append(ids_hash.hexdigest())
