@@ -329,13 +329,15 @@ def path_lengths(spark, d):
 
 
 _CAT = "CASE WHEN list_contains(ty, 'gap') THEN 'gap_affected' WHEN length_m <= 0.5 THEN 'stationary' WHEN list_contains(ty, 'stop') THEN 'stop_and_go' WHEN list_contains(ty, 'left_turn') AND list_contains(ty, 'right_turn') THEN 'mixed' WHEN list_contains(ty, 'left_turn') THEN 'left_turn' WHEN list_contains(ty, 'right_turn') THEN 'right_turn' WHEN list_contains(ty, 'acceleration') AND list_contains(ty, 'braking') THEN 'mixed' WHEN list_contains(ty, 'acceleration') THEN 'accelerating' WHEN list_contains(ty, 'braking') THEN 'braking' ELSE 'straight' END"
-_CATS_SQL = f"""SELECT l.scenario_id, l.trajectory_id, round(length_m, 4) AS length_m, {_CAT} AS category FROM (SELECT scenario_id, trajectory_id, sum(length_m) AS length_m FROM lengths GROUP BY ALL) l LEFT JOIN (SELECT trajectory_id, list(DISTINCT event_type) AS ty FROM found WHERE event_type <> 'gap' GROUP BY ALL) f ON l.trajectory_id = f.trajectory_id"""
+_CATS_SQL = f"""SELECT l.scenario_id, l.trajectory_id, round(length_m, 4) AS length_m, {_CAT.replace("(ty,", "(coalesce(types, []),")} AS category, {_CAT.replace("(ty,", "(list_filter(coalesce(types, []), lambda x: x <> 'gap'),")} AS moving_category FROM (SELECT scenario_id, trajectory_id, sum(length_m) AS length_m FROM lengths GROUP BY ALL) l LEFT JOIN (SELECT trajectory_id, list(DISTINCT event_type) AS types FROM found GROUP BY ALL) f ON l.trajectory_id = f.trajectory_id"""
 
 
-@query(sql(_CATS_SQL.replace("CASE WHEN list_contains(ty", "CASE WHEN list_contains(coalesce(ty, [])").replace("(ty,", "(coalesce(ty, []),"), "lengths", "found"))
+@query(sql(_CATS_SQL, "lengths", "found"))
 def motion_categories(spark, d):
-    """Gaps left out, as every track of the test binding has one."""
-    return rounded(layout.categories(_valid(spark, d), _events(spark, d).where("event_type <> 'gap'")), 4)
+    """With all events, and (moving_category) as if there were no gaps: every track of the test binding has one."""
+    v, found = _valid(spark, d), _events(spark, d)
+    moving = layout.categories(v, found.where("event_type <> 'gap'")).select(*TRACK, F.col("category").alias("moving_category"))
+    return rounded(layout.categories(v, found).join(moving, list(TRACK)), 4)
 
 
 @query(sql("SELECT s.scenario_id, s.trajectory_id, coalesce(string_agg(event_type, '>' ORDER BY event_index), '') AS signature, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS n_{t}" for t in ("stop", "left_turn", "right_turn", "acceleration", "braking", "gap")) + " FROM (SELECT DISTINCT scenario_id, trajectory_id FROM samples) s LEFT JOIN found f ON s.trajectory_id = f.trajectory_id GROUP BY ALL", "found", "samples"))
@@ -377,7 +379,7 @@ def route_pairs(spark, d):
 @query()
 def route_templates(spark, d):
     v = _valid(spark, d)
-    return layout.templates(layout.routes(v, _events(spark, d).where("event_type = 'stop'"), ROUTES), ROUTES)
+    return layout.templates(layout.routes(v, _events(spark, d), ROUTES), ROUTES)
 
 
 def _lanes(spark):
@@ -660,9 +662,9 @@ def rollup_overall(spark, d):
     return r.select(F.coalesce("l_returnflag", F.lit("all")).alias("role"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "n", "quantity_cents")
 
 
-@query("SELECT n_name, CASE WHEN k = 0 THEN 'none' WHEN k = 1 THEN 'single' ELSE 'mixed' END AS stratum, customers FROM (SELECT n_name, count(DISTINCT c_mktsegment) AS k, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY ALL)")
+@query("SELECT n_name, CASE WHEN k = 0 THEN 'none' WHEN k = 1 THEN 'single' ELSE 'mixed' END AS stratum, customers FROM (SELECT n_name, count(DISTINCT c_mktsegment) AS k, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)")
 def strata(spark, d):
-    c = read(spark, d, "customer").where("c_acctbal > 9000")
+    c = read(spark, d, "customer")
     j = read(spark, d, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.size(F.collect_set("c_mktsegment")).alias("k"), F.count("c_custkey").alias("customers"))
     return j.select("n_name", F.when(F.col("k") == 0, "none").when(F.col("k") == 1, "single").otherwise("mixed").alias("stratum"), "customers")
 
