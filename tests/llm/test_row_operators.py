@@ -256,6 +256,59 @@ def test_reputation_shrinks(spark):
     assert got["new.example.com"].rate > got["new.example.org"].rate and got["good.example.org"].rate < 0.1
 
 
+def brute_reputation(labelled, hosts):
+    """Posterior parameters of each host by the definition, level by level."""
+    def split(host):
+        name = re.sub(r":[0-9]*$", "", re.sub("^.*@", "", host)).split(".")
+        two = ".".join(name[-2:])
+        return (".".join(name[-3:]), two) if two in url_filter.MULTI_SUFFIXES else (two, name[-1])
+
+    sums = {h: [0, 0] for h in [*hosts, *(h for h, _ in labelled)]}
+    for h, bad in labelled:
+        sums[h][0] += 1
+        sums[h][1] += bad
+
+    def fold(parts, key):
+        out = {}
+        for k, (n, bad) in parts.items():
+            up = out.setdefault(key(k), [0, 0])
+            up[0] += n
+            up[1] += bad
+        return out
+
+    domains = fold(sums, split)
+    suffixes = fold(domains, lambda k: k[1])
+    n, bad = (sum(v[i] for v in suffixes.values()) for i in (0, 1))
+    rate = {k: (bad + 0.5) / (n + 1) for k in suffixes}
+
+    def shrink(parts, up):
+        seen = [(n, bad, up[k]) for k, (n, bad) in parts.items() if n]
+        total = sum(n for n, _, _ in seen)
+        between = max(1e-4, (sum(n * (bad / n - p) ** 2 for n, bad, p in seen) - sum(p * (1 - p) for _, _, p in seen)) / total)
+        k = min(1e4, max(1.0, sum(n * p * (1 - p) for n, _, p in seen) / total / between - 1))
+        return {g: (bad + k * up[g], n - bad + k * (1 - up[g])) for g, (n, bad) in parts.items()}
+
+    for parts, parent in ((suffixes, lambda k: k), (domains, lambda k: k[1]), (sums, split)):
+        below = shrink(parts, {k: rate[parent(k)] for k in parts})
+        rate = {k: a / (a + b) for k, (a, b) in below.items()}
+    return below
+
+
+def test_reputation_equals_its_definition(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    hosts = [f"h{i}.{rng.choice(['a', 'b', 'c', 'd'])}.{rng.choice(['com', 'org', 'co.uk', 'net'])}" for i in range(60)] + ["", "u@x.a.com:80", "localhost"]
+    odds = {h: rng.random() ** 2 for h in hosts}
+    labelled = [(h, int(rng.random() < odds[h])) for h in hosts for _ in range(rng.choice([0, 1, 3, 40]))]
+    got = {r.host: r for r in url_filter.reputation(spark.createDataFrame(labelled + [(hosts[0], None)], "host string, bad int"), spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    want = brute_reputation(labelled, hosts)
+    assert set(got) == set(want)
+    for h, (a, b) in want.items():
+        assert got[h].rate == pytest.approx(a / (a + b)) and got[h].lower == pytest.approx(url_filter.beta_quantile(0.05, np.array([a]), np.array([b]))[0], abs=1e-6)
+    assert sum(got[h].lower > 0.5 for h in hosts) >= 2
+
+
 def brute_chat(rows):
     turns = "".join(f"{role or ''}\n{text or ''}\n" for role, text in rows)
     loss = "".join(text or "" for role, text in rows if role == "assistant")
