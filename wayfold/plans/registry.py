@@ -726,7 +726,7 @@ def crossings(spark, d):
 @query()
 def support_groups(spark, d):
     p = _paths(spark, d)
-    return feasibility.support_groups(spark, p, feasibility.agreeing_pairs(p, FEASIBILITY))
+    return feasibility.support_groups(spark, p, feasibility.linking_pairs(spark, p, FEASIBILITY))
 
 
 # --- tapes and campaigns -------------------------------------------------------------------------------------------
