@@ -136,3 +136,45 @@ def test_gibbs_draws_follow_the_conditional():
     for _ in range(30):
         now = pitman_yor.draw_tables(rng, table, d, theta, np.full(3000, 400), now, np.full(3000, others), np.full(3000, base))
     assert abs(now.mean() - mean) < 0.1 * mean
+
+
+def test_rarer_contexts_have_restaurants_of_their_own(spark):
+    """Three groups by hand, five listed words: each rarer context has probabilities of its own, which add up."""
+    rng, n, d, d0 = random.Random(4), 3, 0.6, 0.5
+    vocabulary = [f"w{i}" for i in range(40)]
+    train = [" ".join(rng.choices(vocabulary, weights=range(41, 1, -1), k=rng.randint(5, 60))) for _ in range(30)] + ["w30 w31 w30 w31 w30 w31", "w33 w34 w33 w34"]
+    known = sorted({w for t in train for w in t.split()})
+    probes = [f"{c} {x}" for c in ("w30", "w33") for x in [*known, "never-seen"]] + ["w30", "w33"]
+    chunk = lambda rows: lm.chunk_words(spark.createDataFrame([(i, t, held) for i, (t, held) in enumerate(rows)], "doc_id long, text string, held boolean").coalesce(1)).first()
+    code = {w: next(np.int64(h).astype(np.uint64) for h in chunk([(w, False)]).words if h != int(lm.END.astype(np.int64))) for w in ("w30", "w31", "w33")}
+    row = chunk([(t, False) for t in train] + [(t, True) for t in probes])
+    tops = sorted(((c, h) for c, h in zip(row.counts, row.words) if c and h != int(lm.END.astype(np.int64))), reverse=True)[:5]
+    frequent = np.sort(np.append(np.array([h for _, h in tops], np.int64).view(np.uint64), lm.END))
+    p = lm.Pairs(row.payload, np.array(row.words), frequent, n)
+    merged = {g: lm.merge(pa.table({"g": [g], "chunk": [row.chunk], "blob": [lm.message(p.known[p.word[part]], p.context[part], p.known, p.count[part])]}), frequent, n) for g, part in lm.cut_by(p.group, n)}
+
+    def told(links):
+        sent = [(x["to"], g, x["blob"]) for g, own in links.items() for x in own[0].as_py()]
+        back = [r for to in range(n) if any(x[0] == to for x in sent) for r in lm.settle(pa.table(dict(zip(("to", "g", "blob"), zip(*[x for x in sent if x[0] == to]))))).to_pylist()]
+        return {g: [r["blob"] for r in back if r["g"] == g] for g in links}
+
+    def added(sums):
+        return {k: sum((s[k] for s in sums if k in s), np.zeros(size, np.int64)) for k, size in lm._EMPTY.items()}
+
+    first = added([lm.unpack(m.column("sums")[0].as_py()) for m in merged.values()])
+    totals, inbox = lm._totals(first, first, d0, pitman_yor.log_stirling(d0), 0), told({g: m.column("links") for g, m in merged.items()})
+    groups = {g: lm.Group(g, m.column("state")[0].as_py(), totals, d, d0, n).told(inbox[g]) for g, m in merged.items()}
+    assert len(groups) == n
+    for number in range(3):
+        for x in groups.values():
+            x.sweep(number, totals, pitman_yor.log_stirling(d), pitman_yor.log_stirling(d0))
+        totals = lm._totals(first, added([x.sums() for x in groups.values()]) | {"root_of_listed": totals["root_of_listed"]}, d0, pitman_yor.log_stirling(d0), number + 1)
+        for g, replies in told({g: x.links() for g, x in groups.items()}).items():
+            groups[g].told(replies)
+    after = {}
+    for c in ("w30", "w33"):
+        own = [(x, x.predictive(totals)[at], at) for x in groups.values() if code[c] in x.rare for at in [x.u == lm._CONTEXTS + np.searchsorted(x.rare, code[c])]]
+        assert sum(at.sum() for _, _, at in own) == totals["vocabulary"] + 1  # every known word, the end and one unknown
+        assert abs(sum(q.sum() for _, q, _ in own) - 1) < 1e-9
+        after[c] = sorted(v for _, q, _ in own for v in q)
+    assert after["w30"] != pytest.approx(after["w33"])
