@@ -78,3 +78,14 @@ def test_cells_of_standing_samples(spark, tmp_path):
     want = duck.execute(registry.ORACLE["shared_cells"]).fetchall()
     got = registry.shared_cells(spark, str(tmp_path)).select("scenario_id", "occupied_cells", "repeated_cells", "supported_tracks").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_standing_copies_change_no_cells(spark, tmp_path):
+    """A step of length zero adds nothing to a path, so copies under new event_ids have the cells that the SQL, as it is, gives for the originals."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.crossJoin(spark.range(60).withColumnRenamed("id", "i")).withColumn("event_id", F.col("event_id") + F.col("i") * 100_000).drop("i").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from read_parquet('{SF}/events.parquet')")
+    want = duck.execute(registry.ORACLE["shared_cells"]).fetchall()
+    got = registry.shared_cells(spark, str(tmp_path)).select("scenario_id", "occupied_cells", "repeated_cells", "supported_tracks").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
